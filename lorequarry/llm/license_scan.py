@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, sql_strings
+
 #: phrase -> label
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -47,14 +49,6 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 
-def word_string(text: Column) -> Column:
-    """The words, lower-cased, with single blanks between. Java's lower() also changes letters
-    beyond ASCII, which stay word characters; of those only the Kelvin sign and the dotted I
-    would turn to ASCII letters, so they are put out of the way first."""
-    safe = F.translate(F.coalesce(text, F.lit("")), "Kİ", "Åı")
-    return F.btrim(F.regexp_replace(F.lower(safe), NOT_WORD, " "))
-
-
 def _count(s: Column, what: Column | str, length: Column | int) -> Column:
     return ((F.length(s) - F.length(F.replace(s, what if isinstance(what, Column) else F.lit(what), F.lit("")))) / length).cast("long")
 
@@ -67,17 +61,31 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for _, text, _ in templates for w in text.split()})
 
 
-def with_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``_s``, the padded word string: every word has a blank of its own on both sides."""
-    norm = word_string(F.col(text_col))
-    return docs.withColumn("_s", F.when(norm == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(norm, F.lit(" "), F.lit("  ")), F.lit(" "))))
+def possible(phrases: list[str], own: str = "own") -> Column:
+    """A file may hold one of the phrases: it has all words of one."""
+    parts = [f"size(array_intersect({own}, {sql_strings(words)})) = {len(words)}" for words in (sorted(set(p.split())) for p in phrases)]
+    return F.expr(" or ".join(parts) or "false")
+
+
+def with_words(docs: DataFrame, vocab: list[str], phrases: list[str]) -> DataFrame:
+    """doc_id, n_words, own (its licence words), and for files that may hold one of the phrases
+    ``_s``, the lower-cased words, each with a blank of its own on both sides. Java's lower()
+    also changes letters beyond ASCII; they stay word characters, and the only ones that turn
+    into ASCII letters (the Kelvin sign, to k) occur in no mandatory phrase."""
+    words = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), NOT_WORD)
+    split = docs.select("doc_id", words.alias("_w"))
+    edge = lambda c: (c == "").cast("int")
+    w = F.col("_w")
+    n = F.when(F.size(w) == 1, 1 - edge(F.get(w, F.lit(0)))).otherwise(F.size(w) - edge(F.get(w, F.lit(0))) - edge(F.element_at(w, -1)))
+    split = split.select("doc_id", "_w", n.cast("long").alias("n_words"), F.array_intersect(w, F.expr(sql_strings(vocab))).alias("own"))
+    gate = possible(phrases)
+    padded = F.concat(F.lit(" "), F.array_join(F.filter(w, lambda x: x != ""), "  "), F.lit(" "))
+    return split.select("doc_id", "n_words", "own", F.when(gate, padded).alias("_s"))
 
 
-def document_frequency(words: DataFrame, vocab: list[str]) -> dict[str, int]:
-    """How many rows hold each licence word: at most ``len(vocab)`` counts, found by searching
-    the padded string in one pass without a shuffle of words."""
-    row = words.agg(*[F.count_if(F.contains("_s", F.lit(f" {w} "))).alias(w) for w in vocab]).first()
-    return {w: row[i] or 0 for i, w in enumerate(vocab)}
+def document_frequency(words: DataFrame) -> dict[str, int]:
+    """How many rows hold each licence word; as many counts as there are licence words."""
+    return {w: n for w, n in words.select(F.explode("own").alias("w")).groupBy("w").count().collect()}
 
 
 def _words_before(prefix: Column) -> Column:
@@ -87,19 +95,21 @@ def _words_before(prefix: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, templates=TEMPLATES, rare_words: int = 8, agree: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    words = with_words(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text")
-    s = F.col("_s")
-    vocab = vocabulary(templates)
-    df = document_frequency(words, vocab)
+    vocab = sorted(set(vocabulary(templates)) | {w for p, _ in base for w in p.split()})
+    gates = sorted({p for p, _ in base} | {phrases[0] for _, _, phrases in templates})
+    words = with_words(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), vocab, gates)
+    words = materialize(words, "license-words")  # one pass over the texts; what follows reads this
+    s = F.coalesce(F.col("_s"), F.lit(""))
+    df = document_frequency(words)
     # A word that stands in most files tells nothing; ties by the word itself.
-    rank = {w: i for i, w in enumerate(sorted(vocab, key=lambda w: (df[w], w)))}
+    rank = {w: i for i, w in enumerate(sorted(vocab, key=lambda w: (df.get(w, 0), w)))}
     postings = []
     for t, (_, text, _) in enumerate(templates):
         own = text.split()
         for w in sorted(set(own), key=rank.get)[: max(agree + 2, math.ceil(len(set(own)) / 2))]:
             postings += [(w, t, p) for p, x in enumerate(own) if x == w]
     indexed = sorted({w for w, _, _ in postings}, key=rank.get)
-    post = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p")) for w, t, p in postings])
+    post = F.expr("array(" + ", ".join(f"named_struct('w', '{w}', 't', {t}, 'p', {p})" for w, t, p in postings) + ")")
 
     n_base = sum((_count(s, _padded(p), len(_padded(p))) for p, _ in base), F.lit(0)).cast("long")
     firsts = [F.when(F.contains(s, F.lit(_padded(p))), _words_before(F.substring_index(s, _padded(p), 1))) for p, _ in base]
@@ -108,21 +118,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
     least = lambda xs: F.least(*xs) if len(xs) > 1 else xs[0]
     most = lambda xs: F.greatest(*xs) if len(xs) > 1 else xs[0]
 
-    # Only files with a mandatory phrase are looked at word by word: every accepted template has its phrases.
-    gates = sorted({f for _, _, phrases in templates for f in phrases[:1]})
-    gate = F.lit(False)
-    for f in gates:
-        gate = gate | F.contains(s, F.lit(_padded(f)))
-    out = words.select("doc_id", "_s", _words_before(s).alias("n_words"), gate.alias("_gate"))
+    out = words.select("doc_id", "_s", "n_words", "own", F.col("_s").isNotNull().alias("_gate"))
     out = out.select("*", n_base.alias("n_base"), least(firsts).alias("first_word"), most(lasts).alias("last_word"), base_set.alias("_base"), F.when(F.col("_gate"), F.split(F.btrim(F.replace(s, F.lit("  "), F.lit(" "))), " ")).alias("_w"))
-    own = F.slice(F.filter(F.array(*[F.lit(w) for w in indexed]), lambda w: F.array_contains(F.col("_w"), w)), 1, rare_words)
+    own = F.slice(F.filter(F.expr(sql_strings(indexed)), lambda w: F.array_contains(F.col("own"), w)), 1, rare_words)
     out = out.withColumn("_rare", F.when(F.col("_gate"), own))
     found = F.filter(F.transform(F.col("_w"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("_rare"), x["w"]))
     hits = F.flatten(F.transform(found, lambda x: F.transform(F.filter(post, lambda q: q["w"] == x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at"), q["p"].alias("p")))))
     out = out.withColumn("_hits", F.when(F.col("_gate"), F.array_sort(F.array_distinct(hits))))
     pair = lambda h: F.struct(h["t"].alias("t"), h["at"].alias("at"))
     aligned = F.array_distinct(F.transform(F.filter(F.col("_hits"), lambda h, i: (i >= agree - 1) & (pair(F.get(F.col("_hits"), i - (agree - 1))) == pair(h))), pair))
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(w) for w in text.split()]).alias("words"), F.array(*[F.lit(_padded(f)) for f in phrases]).alias("phrases")) for label, text, phrases in templates])
+    table = F.expr("array(" + ", ".join(f"named_struct('label', '{label}', 'words', {sql_strings(text.split())}, 'phrases', {sql_strings(map(_padded, phrases))})" for label, text, phrases in templates) + ")")
 
     def passage(h: Column) -> Column:
         n = F.size(F.get(table, h["t"])["words"])

@@ -5,19 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, license_scan, sharding, urlrep
+from . import decontam, fingerprint, license_scan, minhash, packing, quality, sharding, toxicity, urlrep, warc
 from .common import table
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = quality.remainder("doc_id", 5)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), part != 0)
+    out = quality.score(docs.select("doc_id", (part == 0).alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontam.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    hit = decontam.n_hit(F.col("hit_spans"))
+    return marked.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = quality.remainder("doc_id", 4)
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"), part != 2)
+    out = toxicity.score(docs.select("doc_id", (part == 2).alias("held_out"), "text"), net)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("bound", 6).alias("bound"))
 
@@ -26,8 +67,14 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_quality, op2_near_duplicates, op3_decontamination, op4_fingerprints, op5_warc,
+    op6_toxicity, op7_sharding, op8_packing, op9_url_filters, op10_license_scans,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_fingerprints, op7_sharding, op9_url_filters, op10_license_scans)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

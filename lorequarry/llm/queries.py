@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, license_scan, minhash, packing, quality, sharding, toxicity, urlrep, warc
+from . import decontam, fingerprint, license_scan, minhash, oracle, packing, quality, sharding, toxicity, urlrep, warc
 from .common import table
 
 
@@ -60,7 +60,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlrep.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("bound", 6).alias("bound"))
+    return urlrep.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()

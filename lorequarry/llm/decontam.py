@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .words import WordHashes, ascii_word_table, grams, mix, slices
+from .words import ROWS, WordHashes, ascii_word_table, grams, mix, slices
 
 WINDOW, GRAM = 10, 5
 BLOCK = 1_000_000
@@ -123,42 +123,52 @@ def _rows(span: np.ndarray, base: int | None) -> np.ndarray:
     return mix(out)
 
 
-def mark(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with n_words, hit_spans (array of [start, end) in words, disjoint, in order) and items (ids, sorted)."""
-    added = ["n_words", "hit_spans", "items"]
-    kept = [c for c in docs.columns if c not in (*added, "_text")]
-    at = len(kept)
-    found = materialize(benchmark_windows(items, item_id, item_text), "benchmark-windows")
+RESULT = T.StructType().add("n_words", "long").add("hit_spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("items", T.ArrayType(T.LongType()))
+ARROW = pa.struct([("n_words", pa.int64()), ("hit_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+
+
+def look_up(text: bytes | None, indexes: list[Index], cache: WordHashes) -> dict:
+    h = word_hashes(text, cache)
+    change, own = np.zeros(len(h) + 1, np.int64), []
+    for index in indexes:
+        for n, start, item in index.hits(h):
+            start = np.unique(start)
+            np.add.at(change, start, 1)
+            np.add.at(change, start + n, -1)
+            own.append(np.unique(item))
+    if not own:
+        return {"n_words": len(h), "hit_spans": [], "items": []}
+    on = np.diff(np.concatenate([[0], (np.cumsum(change) > 0).astype(np.int8)]))
+    spans = [{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1), strict=True)]
+    return {"n_words": len(h), "hit_spans": spans, "items": np.unique(np.concatenate(own)).tolist()}
+
+
+def marker(items: DataFrame, block_windows: int = BLOCK, id_col: str = "item_id", text_col: str = "text"):
+    """A column function: text (binary) -> struct of n_words, hit_spans (array of [start, end)
+    in words, disjoint, in order) and items (ids, sorted)."""
+    found = materialize(benchmark_windows(items, id_col, text_col), "benchmark-windows")
     blocks = max(1, -(-found.count() // block_windows))
-    sc = docs.sparkSession.sparkContext
     sent = []
-    for i in range(blocks):  # each at most about block_windows windows
+    for i in range(blocks):  # each of about block_windows windows
         t = found.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toArrow()
         cols = [t[c].to_numpy() for c in ("item_id", "length", "f", "a", "b")]
-        sent.append(sc.broadcast([cols[0], cols[1], *[c.astype(np.int64).view(np.uint64) for c in cols[2:]]]))
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        sent.append(items.sparkSession.sparkContext.broadcast([cols[0], cols[1], *[c.astype(np.int64).view(np.uint64) for c in cols[2:]]]))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(RESULT)
+    def hits_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache, indexes = WordHashes(), [Index(*s.value) for s in sent]
-        for batch in slices(batches):
-            words, spans, ids = [], [], []
-            for text in batch.column(at).to_pylist():
-                h = word_hashes(text, cache)
-                change, own = np.zeros(len(h) + 1, np.int64), []
-                for index in indexes:
-                    for n, start, item in index.hits(h):
-                        start = np.unique(start)
-                        np.add.at(change, start, 1)
-                        np.add.at(change, start + n, -1)
-                        own.append(np.unique(item))
-                on = np.diff(np.concatenate([[0], (np.cumsum(change) > 0).astype(np.int8)])) if own else np.zeros(1, np.int8)
-                words.append(len(h))
-                spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1), strict=True)])
-                ids.append(np.unique(np.concatenate(own)).tolist() if own else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(words, pa.int64()), pa.array(spans, span), pa.array(ids, pa.list_(pa.int64()))], [*kept, *added])
-
-    schema = docs.select(*kept).schema.add("n_words", "long").add("hit_spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("items", T.ArrayType(T.LongType()))
-    return docs.select(*kept, F.col(text_col).cast("binary").alias("_text")).mapInArrow(apply, schema)
+        for texts in batches:
+            rows = [look_up(t, indexes, cache) for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()]
+            yield pa.array(rows, ARROW)
+
+    return hits_of
+
+
+def mark(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs with n_words, hit_spans and items, which replace any columns of these names."""
+    hits = marker(items, block_windows, item_id, item_text)
+    marked = docs.withColumn("_hits", hits(F.col(text_col).cast("binary")))
+    return marked.withColumns({c: F.col(f"_hits.{c}") for c in ("n_words", "hit_spans", "items")}).drop("_hits")
 
 
 def n_hit(spans: Column) -> Column:

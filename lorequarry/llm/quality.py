@@ -4,8 +4,9 @@ Every text is reduced to a few dozen numbers (shares and counts of character cla
 lengths, repetition). From labelled rows preference pairs (a good and a bad text) are drawn
 and weights learnt by logistic loss on the feature differences; a text's strength is the
 weighted sum of its features. Two more numbers, fitted on the labelled rows, turn strengths
-to scores between 0 and 1. ``threshold_at`` gives the score below which a given share of the
-good training texts lies, for filtering by a quantile of scores.
+to scores between 0 and 1. Filters cut at a quantile of scores: ``cut`` is the quantile of the
+training scores at the share of bad labels, ``threshold_at`` the score below which a given
+share of the good training texts lies.
 
 Fitting reads at most ``max_rows`` labelled rows (those first by a hash of the id); scoring
 covers all rows, one text at a time, whole.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import ROWS, slices
 
 MAX_ROWS = 20_000
 PAIRS = 20_000
@@ -82,6 +83,7 @@ class Ranker:
     slope: float
     offset: float
     good: np.ndarray  # sorted scores of good training texts
+    cut: float = 0.0  # the quantile of training scores at the share of bad labels
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
@@ -120,7 +122,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-4,
         step = np.linalg.solve(h, [(r * u).sum() + (a - 1), r.sum()])
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
     out = Ranker(mean, scale, w, a / s0, b, np.empty(0))
-    return Ranker(mean, scale, w, a / s0, b, np.sort(out.score(x[good])))
+    own = out.score(x)
+    return Ranker(mean, scale, w, a / s0, b, np.sort(own[good]), float(np.quantile(own, len(bad) / len(y))))
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -149,16 +152,18 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
     return fit(np.array(rows["x"].tolist()).reshape(-1, d), rows["y"].to_numpy(np.float64))
 
 
-def score(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
-    """docs with a column ``score``. Any column of that name is replaced."""
-    kept = [c for c in docs.columns if c not in ("score", "_text")]
-    at = len(kept)
+def scorer(model: Ranker):
+    """A column function: text (binary) -> score."""
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            s = model.score(matrix(b.column(at).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(s)], [*kept, "score"])
+    @F.arrow_udf("double")
+    def score_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [model.score(matrix(texts.slice(i, ROWS).to_pylist())) for i in range(0, len(texts), ROWS)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+
+    return score_of
 
-    source = docs.select(*kept, F.col(text_col).cast("binary").alias("_text"))
-    schema = docs.select(*kept).schema.add("score", "double")
-    return source.mapInArrow(apply, schema)
+
+def score(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
+    """docs with a column ``score``, which replaces any of that name."""
+    return docs.withColumn("score", scorer(model)(F.col(text_col).cast("binary")))

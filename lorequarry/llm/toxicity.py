@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import sample
-from .words import WordHashes, mix, slices
+from .words import WordHashes, mix
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WIDTH = 8, 8  # state of each direction; entries of either table
@@ -317,15 +317,19 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
     return net
 
 
-def score(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
-    """docs with a column ``score``. Any column of that name is replaced."""
-    kept = [c for c in docs.columns if c not in ("score", "_text")]
-    at = len(kept)
+def scorer(net: Net):
+    """A column function: text (binary) -> score."""
+
+    @F.arrow_udf("double")
+    def score_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Scorer(net)
+        for texts in batches:
+            parts = [own.scores(texts.slice(i, 256).to_pylist()) for i in range(0, len(texts), 256)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(net)
-        for b in slices(batches, 256):
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(scorer.scores(b.column(at).to_pylist()), pa.float64())], [*kept, "score"])
+    return score_of
 
-    source = docs.select(*kept, F.col(text_col).cast("binary").alias("_text"))
-    return source.mapInArrow(apply, docs.select(*kept).schema.add("score", "double"))
+
+def score(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
+    """docs with a column ``score``, which replaces any of that name."""
+    return docs.withColumn("score", scorer(net)(F.col(text_col).cast("binary")))

@@ -35,7 +35,7 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, WIDTH = 8, 8  # state of each direction; entries of either table
 WORD_SLOTS, GRAM_SLOTS = 1 << 15, 1 << 15
 MAX_TOXIC, MAX_CLEAN = 1500, 2500
-EPOCHS = 8
+EPOCHS, LEAST_STEPS, BATCH = 8, 240, 64
 LONGEST = 24  # bytes of a word that give character grams: its first 12 and last 12 beyond that
 CACHE = 150_000
 TOKEN = re.compile(rb"[^\x00-\x20]+")
@@ -202,6 +202,8 @@ def train_net(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     held = np.arange(len(y)) % 5 == 4  # for the scale of the scores
     tick = 0
+    # small samples get more passes, so that the weights are updated often enough
+    epochs = max(epochs, min(60, -(-LEAST_STEPS // -(-int((~held).sum()) // BATCH))))
 
     def projected() -> np.ndarray:
         x = np.concatenate([net.p["word"][slots], np.concatenate([np.einsum("ng,ngw->nw", share[i : i + 4096], net.p["gram"][grams[i : i + 4096]]) for i in range(0, len(words), 4096)])], 1)
@@ -218,8 +220,8 @@ def train_net(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int
         _, g = projected()
         _, at = worst(g)
         order = draw.permutation(np.flatnonzero(~held))
-        for i in range(0, len(order), 128):
-            rows = order[i : i + 128]
+        for i in range(0, len(order), BATCH):
+            rows = order[i : i + BATCH]
             ids = every[at[rows]]
             uniq, inv = np.unique(ids, return_inverse=True)
             inv = inv.reshape(ids.shape)

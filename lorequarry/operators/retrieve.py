@@ -28,7 +28,11 @@ def seeds(questions: DataFrame, entities: DataFrame, fuzzy_threshold: int = 85)
     names = entities.select("canonical_name", F.explode(F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     names = names.select("canonical_name", text.norm(F.col("name")).alias("norm")).where("norm <> ''").distinct()
     w = F.filter(F.split(F.lower("question"), TOKEN), lambda x: x != "")
-    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i, k=k: F.array_join(F.slice(w, i, k), " ")) for k in range(1, LONGEST + 1)]))
+
+    def run(k: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+
+    runs = F.flatten(F.array(*[run(k) for k in range(1, LONGEST + 1)]))
     grams = questions.select("qid", F.explode(F.array_distinct(runs)).alias("norm")).where("norm <> ''")
     exact = grams.join(names, "norm").select("qid", "canonical_name", F.lit(100).alias("ratio"))
     if fuzzy_threshold >= 100:

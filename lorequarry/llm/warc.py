@@ -5,7 +5,8 @@ Spark reaches): a row is a record up to the end of its block, the line separator
 line ends that close a WARC record. They are read as binary files, whose records are cut by
 Content-Length in Python. Files hold the records of one task; ``records_per_file`` bounds them.
 
-Revisit resolution shuffles headers only: digest, page id and length. Of the records with
+Revisit resolution groups headers (digest, page id, URL) by digest; the digests that recur are
+joined back to the records, each of which is exchanged at most once. Of the records with
 equal payloads of at least ``least_bytes``, the one with the smallest page id is the
 response; the others become revisit records (no payload, WARC-Refers-To the response), and
 all get fresh headers. Smaller payloads are responses each.

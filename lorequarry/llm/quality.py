@@ -123,7 +123,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-4,
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
     out = Ranker(mean, scale, w, a / s0, b, np.empty(0))
     own = out.score(x)
-    return Ranker(mean, scale, w, a / s0, b, np.sort(own[good]), float(np.quantile(own, len(bad) / len(y))))
+    return Ranker(mean, scale, w, a / s0, b, np.sort(own[good]), float(np.quantile(own, len(bad) / len(y), method="midpoint")))
 
 
 def remainder(id_col: str, n: int) -> Column:

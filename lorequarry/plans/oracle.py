@@ -66,6 +66,13 @@ WITH {PATHS}, hashed AS (SELECT doc_id, doc_type, md5('0' || doc_id) AS h FROM p
 ), rest AS (SELECT * FROM hashed WHERE doc_id NOT IN (SELECT doc_id FROM taken)
 ), ordered AS (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS q FROM rest)
 SELECT doc_id, doc_type FROM taken UNION ALL SELECT doc_id, doc_type FROM ordered WHERE q <= greatest(0, 15 - (SELECT count(*) FROM taken))"""
+    out["q_indel_pairs"] = """
+WITH n AS (SELECT DISTINCT lower(trim(p_name)) AS s FROM part
+), c AS (SELECT s, list_transform(string_split(s, ''), lambda x: [ord(x)]) AS l FROM n
+), p AS (SELECT x.s AS a, y.s AS b, x.l AS la, y.l AS lb FROM c x JOIN c y ON x.s < y.s
+), d AS (SELECT a, b, list_reduce(list_prepend(list_transform(list_prepend([0], la), lambda z: 0), lb), lambda prev, ch:
+    list_reduce(list_prepend([0], list_transform(range(1, len(la) + 1), lambda j: [j::INTEGER])), lambda acc, j: list_append(acc, CASE WHEN la[j[1]][1] = ch[1] THEN prev[j[1]] + 1 ELSE greatest(acc[j[1]], prev[j[1] + 1]) END)))[-1] AS lcs FROM p)
+SELECT a, b, round_even(200.0 * lcs / (len(a) + len(b)), 0)::INTEGER AS ratio FROM d WHERE round_even(200.0 * lcs / (len(a) + len(b)), 0) >= 60"""
     out["q_resolve_relations"] = f"WITH {RES} SELECT ord, source_entity, relation_type, target_entity, negated, confidence, justification, source_chunk_id, source_doc_id, source_reliability FROM res"
     out["q_stub_entities"] = f"""
 WITH {RES}, named AS (SELECT source_entity AS canonical_name, ord, source_chunk_id FROM res UNION ALL SELECT target_entity, ord, source_chunk_id FROM edges)

@@ -5,10 +5,10 @@ A document's set holds the 64-bit hashes of its distinct word shingles; its sket
 sets is at least ``percent``; the result is each document's connected component.
 
 1. Documents with equal sets become one class; its smallest id represents it.
-2. Inverted lists: each retained value lists its classes. Two linked sets share at least
-   ``SHARED`` of ``SKETCH`` values (at 0.8, all but about one pair in 10^8; all pairs where
-   sets are small enough to be kept whole), so with values ordered from rare to common, a
-   class need only enter the lists of its ``SKETCH - SHARED + 1`` rarest ones.
+2. Inverted lists: each retained value lists its classes, by bands of set sizes. Two linked
+   sets share at least ``SHARED`` of ``SKETCH`` values (at 0.8, all but about four pairs in 10^6;
+   all pairs where sets are small enough to be kept whole), so with values ordered from rare to
+   common, a class need only enter the lists of its ``SKETCH - SHARED + 1`` rarest ones.
 3. A list is not expanded to pairs. Its centre (the class with the most popular values) is
    compared with each member, in ``rounds`` rounds: what is within the threshold of the
    centre leaves the list. What is left of the lists is paired under the size bound and a
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .words import WordHashes, grams, slices
 
-SKETCH, SHARED, SHORT, SHORT_SHARED = 64, 32, 32, 12
+SKETCH, SHARED, SHORT, SHORT_SHARED = 64, 36, 32, 13
 FRINGE = 0.6
 ROUNDS = 2
 
@@ -72,8 +72,11 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
     return source.mapInArrow(cut, "doc_id long, n long, ka long, kb long, sketch array<bigint>")
 
 
-def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """v, rep, n, pop, sketch: the rarest values that each class must be listed under."""
+def inverted_lists(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(lists, heads). lists: v (a value within a band of sizes), rep, n, pop, home, i (the value in 32 bits).
+    Sizes of linked classes differ by at most 100 / percent, so with bands of that width a class is
+    listed in its own (home) and the next. heads: rep, keys (the i of all its lists), short (the least
+    ``SHORT`` of its sketch in 32 bits)."""
     posts = classes.select("rep", F.explode("sketch").alias("v"))
     common = posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     mine = posts.join(common, "v").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vals"), F.avg(F.ln("df")).alias("pop"))
@@ -84,8 +87,14 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     mine = mine.join(classes, "rep")
     alone = size - F.size("vals")  # values that no other class has come first
     vals = F.slice("vals", 1, F.greatest(F.lit(0), size - shared + 1 - alone).cast("int"))
-    pop = F.round(F.col("pop") * F.size("vals") / size, 6)
-    return mine.select("rep", "n", pop.alias("pop"), F.slice("sketch", 1, SHORT).alias("short"), F.explode(F.transform(vals, lambda s: s["v"])).alias("v"))
+    band = F.floor(F.ln(F.col("n").cast("double")) / np.log(100 / percent))
+    low = lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")
+    mine = mine.select("rep", "n", F.round(F.col("pop") * F.size("vals") / size, 6).alias("pop"), band.alias("band"), F.transform(vals, lambda s: s["v"]).alias("vals"), F.transform(F.slice("sketch", 1, SHORT), low).alias("short")).where("size(vals) > 0")
+    mine = materialize(mine, "heads")
+    flat = mine.select("rep", "n", "pop", "band", F.explode("vals").alias("value")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("home"))
+    lists = flat.select(F.xxhash64("value", F.col("band") + F.when(F.col("home"), 0).otherwise(1)).alias("v"), "rep", "n", "pop", "home", low(F.col("value")).alias("i"))
+    full = lists.groupBy("v").agg(F.count("*").alias("m"), F.bool_or("home").alias("h")).where("m > 1 and h").select("v")
+    return materialize(lists.join(full, "v"), "lists"), mine.select("rep", F.transform("vals", low).alias("keys"), "short")
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -98,7 +107,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least:
     """x, y, inter, nx, ny, diff for pairs that the sketches don't rule out for similarity
     ``least``; diff: the symmetric difference, if asked for and similarity is at least FRINGE."""
     sk = classes.select("rep", "sketch")
-    margin = 6 * np.sqrt(least * (1 - least) / SKETCH)
+    margin = 5 * np.sqrt(least * (1 - least) / SKETCH)
     near = pairs.join(sk.toDF("y", "sy"), "y").join(sk.toDF("x", "sx"), "x").where(estimate(F.col("sx"), F.col("sy")) >= least - margin).select("x", "y")
     near = materialize(near, "near-pairs")
     wanted = near.select(F.col("x").alias("doc_id")).union(near.select("y")).distinct()
@@ -153,26 +162,34 @@ def by_differences(seen: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """x, y: links between classes that give the components of all links."""
-    lists = materialize(inverted_lists(classes, percent), "lists")
+    lists, heads = inverted_lists(classes, percent)
     least = percent / 100
-    out, seen = None, None
+    out_of_reach = min(FRINGE, least)
+    seen = None
     for _ in range(rounds):
-        centres = lists.groupBy("v").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("c"), F.count("*").alias("m")).where("m > 1").select("v", (-F.col("c.r")).alias("c"))
+        centres = lists.groupBy("v").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"), "n")).alias("c"), F.count("*").alias("m"), F.bool_or("home").alias("h"))
+        centres = centres.where("m > 1 and h").select("v", (-F.col("c.r")).alias("c"), F.col("c.n").alias("nc"))
         members = lists.join(centres, "v").where("rep <> c")
-        pairs = members.select(F.col("rep").alias("x"), F.col("c").alias("y")).distinct()
+        near = (F.least("n", "nc") >= out_of_reach * F.greatest("n", "nc")) & (F.col("rep") != F.col("c"))
+        pairs = members.where(near).select(F.col("rep").alias("x"), F.col("c").alias("y")).distinct()
         if seen is not None:
             known = seen.select("x", "y")
             pairs = pairs.join(known, ["x", "y"], "left_anti").join(known.toDF("y", "x"), ["x", "y"], "left_anti")
-        new = verify(pairs, classes, docs, k, min(FRINGE, least), True)
+        new = verify(pairs, classes, docs, k, out_of_reach, True)
         seen = new if seen is None else seen.unionByName(new)
         ball = seen.where(linked(percent))
         gone = ball.select(F.col("x").alias("rep"), F.col("y").alias("c"))
         gone = gone.unionByName(gone.toDF("c", "rep")).distinct()
         lists = materialize(members.join(gone, ["rep", "c"], "left_anti").select(*lists.columns), "lists")
-    a, b = lists.select("v", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "short")]), lists.select("v", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "short")])
+    # of what is left, each pair once: in the list of the least value that both are listed under
+    full = lists.groupBy("v").agg(F.count("*").alias("m"), F.bool_or("home").alias("h")).where("m > 1 and h").select("v")
+    left = lists.join(full, "v").join(heads, "rep").select("v", "rep", "n", "home", "i", "keys", "short")
+    left = materialize(left, "leftover")
+    a, b = (left.select("v", *[F.col(c).alias(f"{c}_{side}") for c in left.columns if c != "v"]) for side in "ab")
     sized = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
-    enough = F.when(F.least("n_a", "n_b") >= SHORT, SHORT_SHARED).otherwise(1)
-    rest = a.join(b, (a["v"] == b["v"]) & (F.col("rep_a") < F.col("rep_b")) & sized & (F.size(F.array_intersect("short_a", "short_b")) >= enough))
+    once = (F.col("home_a") | F.col("home_b")) & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("i_a"))
+    enough = F.size(F.array_intersect("short_a", "short_b")) >= F.when(F.least("n_a", "n_b") >= SHORT, SHORT_SHARED).otherwise(1)
+    rest = a.join(b, (a["v"] == b["v"]) & (F.col("rep_a") < F.col("rep_b")) & sized & once & enough)
     rest = rest.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).distinct()
     known = seen.select("x", "y")
     rest = rest.join(known, ["x", "y"], "left_anti").join(known.toDF("y", "x"), ["x", "y"], "left_anti")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .words import WordHashes, grams, slices
 
-SKETCH, SHARED, SHORT, SHORT_SHARED = 64, 36, 32, 13
+SKETCH, SHARED = 64, 36
 FRINGE = 0.6
 ROUNDS = 2
 
@@ -75,26 +75,27 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
 def inverted_lists(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(lists, heads). lists: v (a value within a band of sizes), rep, n, pop, home, i (the value in 32 bits).
     Sizes of linked classes differ by at most 100 / percent, so with bands of that width a class is
-    listed in its own (home) and the next. heads: rep, keys (the i of all its lists), short (the least
-    ``SHORT`` of its sketch in 32 bits)."""
-    posts = classes.select("rep", F.explode("sketch").alias("v"))
-    common = posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    mine = posts.join(common, "v").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vals"), F.avg(F.ln("df")).alias("pop"))
+    listed in its own (home) and the next. heads: rep, home, keys (the i of its lists there), short (its
+    sketch in 32 bits)."""
+    band = F.floor(F.ln(F.col("n").cast("double")) / np.log(100 / percent))
+    banded = classes.select("rep", "n", "sketch", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("b")).select("rep", "n", "sketch", "b.band", "b.home")
+    posts = banded.select("rep", "band", "home", F.explode("sketch").alias("value")).select("rep", "home", "value", F.xxhash64("value", "band").alias("v"))
+    common = posts.groupBy("v").agg(F.count("*").alias("df"), F.bool_or("home").alias("h")).where("df > 1 and h").select("v", "df")
+    # values are ordered by how many classes the band lists under them; all of a band agree on it
+    mine = posts.join(common, "v").groupBy("rep", "home").agg(F.array_sort(F.collect_list(F.struct("df", "v", "value"))).alias("vals"), F.avg(F.ln("df")).alias("pop"))
     size = F.least(F.col("n"), F.lit(SKETCH))
     # a set below this size, and all that it can be linked to, are kept whole
     whole = F.col("n") * 100 <= SKETCH * percent
     shared = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(size * SHARED / SKETCH))
     mine = mine.join(classes, "rep")
-    alone = size - F.size("vals")  # values that no other class has come first
+    alone = size - F.size("vals")  # values that no other class of the band has come first
     vals = F.slice("vals", 1, F.greatest(F.lit(0), size - shared + 1 - alone).cast("int"))
-    band = F.floor(F.ln(F.col("n").cast("double")) / np.log(100 / percent))
     low = lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")
-    mine = mine.select("rep", "n", F.round(F.col("pop") * F.size("vals") / size, 6).alias("pop"), band.alias("band"), F.transform(vals, lambda s: s["v"]).alias("vals"), F.transform(F.slice("sketch", 1, SHORT), low).alias("short")).where("size(vals) > 0")
+    mine = mine.select("rep", "home", "n", F.round(F.col("pop") * F.size("vals") / size, 6).alias("pop"), vals.alias("vals"), F.transform("sketch", low).alias("short")).where("size(vals) > 0")
     mine = materialize(mine, "heads")
-    flat = mine.select("rep", "n", "pop", "band", F.explode("vals").alias("value")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("home"))
-    lists = flat.select(F.xxhash64("value", F.col("band") + F.when(F.col("home"), 0).otherwise(1)).alias("v"), "rep", "n", "pop", "home", low(F.col("value")).alias("i"))
+    lists = mine.select("rep", "n", "pop", "home", F.explode("vals").alias("s")).select("s.v", "rep", "n", "pop", "home", low(F.col("s.value")).alias("i"))
     full = lists.groupBy("v").agg(F.count("*").alias("m"), F.bool_or("home").alias("h")).where("m > 1 and h").select("v")
-    return materialize(lists.join(full, "v"), "lists"), mine.select("rep", F.transform("vals", low).alias("keys"), "short")
+    return materialize(lists.join(full, "v"), "lists"), mine.select("rep", "home", F.transform("vals", lambda s: low(s["value"])).alias("keys"), "short")
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -183,12 +184,12 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int
         lists = materialize(members.join(gone, ["rep", "c"], "left_anti").select(*lists.columns), "lists")
     # of what is left, each pair once: in the list of the least value that both are listed under
     full = lists.groupBy("v").agg(F.count("*").alias("m"), F.bool_or("home").alias("h")).where("m > 1 and h").select("v")
-    left = lists.join(full, "v").join(heads, "rep").select("v", "rep", "n", "home", "i", "keys", "short")
+    left = lists.join(full, "v").join(heads, ["rep", "home"]).select("v", "rep", "n", "home", "i", "keys", "short")
     left = materialize(left, "leftover")
     a, b = (left.select("v", *[F.col(c).alias(f"{c}_{side}") for c in left.columns if c != "v"]) for side in "ab")
     sized = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
     once = (F.col("home_a") | F.col("home_b")) & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("i_a"))
-    enough = F.size(F.array_intersect("short_a", "short_b")) >= F.when(F.least("n_a", "n_b") >= SHORT, SHORT_SHARED).otherwise(1)
+    enough = F.size(F.array_intersect("short_a", "short_b")) >= F.ceil(F.least("n_a", "n_b", F.lit(SKETCH)) * SHARED / SKETCH)
     rest = a.join(b, (a["v"] == b["v"]) & (F.col("rep_a") < F.col("rep_b")) & sized & once & enough)
     rest = rest.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).distinct()
     known = seen.select("x", "y")

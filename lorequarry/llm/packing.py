@@ -19,6 +19,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,31 @@ from .words import slices
 
 WINDOW, END = 2048, 1
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE = 300_000
+CACHE = 500_000
 COLUMNS = 30_000
 
 
+class Index(dict):
+    """piece -> row; gives a new piece the next row and notes it."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, piece) -> int:
+        row = self[piece] = len(self)
+        self.new.append(piece)
+        return row
+
+
 class Pieces:
-    """Token ids of texts by way of a cache of blank-separated pieces.
+    """Token ids of texts by way of a cache of pieces.
 
-    The tokenizer's pattern never joins what a single blank between two other characters
-    separates (the blank begins the second token), so pieces can be encoded alone."""
+    The tokenizer's pattern never joins what a single blank or line end between two other
+    characters separates (a blank begins the next token, a line end is one), so the pieces between
+    can be encoded alone. Texts with longer runs of white space, or other kinds of it, are cut at
+    single blanks only. A piece that a blank precedes is kept without it, one that begins a text or
+    follows anything else as a tuple of one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,32 +66,45 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Index()
         self.ids = np.empty(0, np.uint32)
         self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
 
+    @staticmethod
+    def cut(text: str) -> list:
+        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+            own = text.replace("\n", " \n").split(" ")
+            if "" in own or "\n" in own:  # a run of blanks or line ends, made up for by tabs and the like
+                own = CUT.split(text)
+        else:
+            own = CUT.split(text)
+        own[0] = (own[0],)
+        return own
+
+    def learn(self) -> None:
+        new, self.index.new = self.index.new, []
+        if not new:
+            return
+        # a line end that was cut off stands for itself
+        got = [e.ids for e in self.encode([p[0] if type(p) is tuple else p if p[0] == "\n" else " " + p for p in new], add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        cut = []
-        for t in texts:
-            first, *rest = CUT.split(t)
-            cut.append([first, *[" " + r for r in rest]])
-        new = list({p for ps in cut for p in ps if p not in self.index})
-        if len(self.index) + len(new) > CACHE:
+        if len(self.index) > CACHE:
             self.forget()
-            new = list({p for ps in cut for p in ps})
-        if new:
-            got = [e.ids for e in self.encode(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            self.index.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))])
+        find, rows = self.index.__getitem__, []
+        for t in texts:
+            own = self.cut(t)
+            rows.append(np.fromiter(map(find, own), np.int64, len(own)))
+        self.learn()
         out = []
-        for ps in cut:
-            row = np.fromiter(map(self.index.__getitem__, ps), np.int64, len(ps))
+        for row in rows:
             size = self.size[row]
-            where = np.repeat(self.at[row] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            out.append(self.ids[where])
+            end = np.cumsum(size)
+            out.append(self.ids[np.repeat(self.at[row] - end + size, size) + np.arange(end[-1])])
         return out
 
 

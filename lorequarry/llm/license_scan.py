@@ -5,11 +5,12 @@ Two layers, both local to a row, so nothing is shuffled but the word counts:
 * base phrases: every place where a phrase's words stand consecutively, by string search on
   the text with each word padded by its own blanks;
 * templates: words of known licence texts. The document frequency of every licence word is
-  counted over the corpus (at most a few hundred counts). A file's ``rare_words`` licence
-  words of highest IDF are looked up in the postings (word -> template, position); a template
-  is aligned where at least two distinct rare words imply the same relative position (one,
-  if the template has but one), and accepted if all its mandatory phrases stand in the
-  aligned passage. ``score`` is the largest share of a template's words found in place.
+  counted over the corpus (at most a few hundred counts). Each template is posted under its own
+  words of highest IDF (half of them, but ``agree + 2`` at least), and all posted words of a
+  file are looked up in the postings (word -> template, position), so what else stands in the
+  file takes nothing from a template; a template is aligned where at least two distinct posted
+  words imply the same relative position, and accepted if all its mandatory phrases stand in
+  the aligned passage. ``score`` is the largest share of a template's words found in place.
 
 Defined results: null and empty texts have no words, no labels and score 0; an empty table
 gives no rows; repeated rows each get their row; other input columns are ignored.
@@ -93,7 +94,7 @@ def _words_before(prefix: Column) -> Column:
     return F.floor(_count(prefix, " ", 1) / 2).cast("long")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, templates=TEMPLATES, rare_words: int = 8, agree: int = 2) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, templates=TEMPLATES, agree: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     vocab = sorted(set(vocabulary(templates)) | {w for p, _ in base for w in p.split()})
     gates = sorted({p for p, _ in base} | {phrases[0] for _, _, phrases in templates})
@@ -120,8 +121,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
 
     out = words.select("doc_id", "_s", "n_words", "own", F.col("_s").isNotNull().alias("_gate"))
     out = out.select("*", n_base.alias("n_base"), least(firsts).alias("first_word"), most(lasts).alias("last_word"), base_set.alias("_base"), F.when(F.col("_gate"), F.split(F.btrim(F.replace(s, F.lit("  "), F.lit(" "))), " ")).alias("_w"))
-    own = F.slice(F.filter(F.expr(sql_strings(indexed)), lambda w: F.array_contains(F.col("own"), w)), 1, rare_words)
-    out = out.withColumn("_rare", F.when(F.col("_gate"), own))
+    out = out.withColumn("_rare", F.when(F.col("_gate"), F.array_intersect(F.expr(sql_strings(indexed)), F.col("own"))))
     found = F.filter(F.transform(F.col("_w"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("_rare"), x["w"]))
     hits = F.flatten(F.transform(found, lambda x: F.transform(F.filter(post, lambda q: q["w"] == x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at"), q["p"].alias("p")))))
     out = out.withColumn("_hits", F.when(F.col("_gate"), F.array_sort(F.array_distinct(hits))))

@@ -165,3 +165,28 @@ def test_license_scan(spark):
     assert by[4]["labels"] == "gpl-3" and by[4]["score"] == 1.0
     assert by[12]["labels"] == "" and by[9]["labels"] == ""
     assert license_scan.scan(docs(spark, [])).count() == 0
+
+
+def test_license_scan_of_several_notices(spark):
+    texts = [(label, text) for label, text, _ in license_scan.TEMPLATES]
+    vocab = " ".join(license_scan.vocabulary())
+    data, want = [], {}
+
+    def add(text, *labels):
+        want[len(data)] = set(labels)
+        data.append((len(data), text))
+
+    for i, (label, text) in enumerate(texts):
+        add(f"{text}. {vocab}. {vocab}", label)  # the file holds every licence word there is
+        add(f"{vocab} x. {text}", label)
+        for other, more in texts[i + 1 :]:
+            add(f"{text}. Some words between. {more}", label, other)
+    for order in (1, -1):
+        add(". Then: ".join(text for _, text in texts[::order]), *(label for label, _ in texts))
+    add(f"{texts[3][1]}. {'word ' * 3000} any charge code conditions copy files purpose terms {texts[1][1]}", "gpl-3", "mit")
+    add(" ".join(reversed(vocab.split())))
+    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, data)).collect()}
+    for doc, labels in want.items():
+        assert labels <= set(got[doc]["labels"].split(",")), data[doc]
+        assert not labels or got[doc]["score"] == 1.0, data[doc]
+    assert got[len(data) - 1]["labels"] == "" and got[len(data) - 1]["score"] == 0

@@ -145,9 +145,13 @@ def by_differences(seen: DataFrame, percent: int) -> DataFrame:
     """Links between members near a centre and members at its fringe. With d the symmetric
     difference and s the sum of sizes, similarity p/100 means d * (100 + p) <= s * (100 - p);
     d(a, b) = |a'| + |b'| - 2 |a' n b'| for differences a', b' to the centre, and |b'| alone
-    exceeds what d may be, so a' n b' holds at least half of a'."""
-    near = seen.where(linked(percent) & F.col("diff").isNotNull()).select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("diff").alias("da"))
-    fringe = seen.where(~linked(percent) & F.col("diff").isNotNull()).select("y", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("diff").alias("db"))
+    exceeds what d may be, so a' n b' holds at least half of a'. A pair is in ``seen`` in one
+    order only, and either end may be the centre of a later list, so both orders count."""
+    seen = seen.where(F.col("diff").isNotNull())
+    seen = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "inter", F.col("ny").alias("nx"), F.col("nx").alias("ny"), "diff"))
+    near = seen.where(linked(percent)).select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("diff").alias("da"))
+    fringe = seen.where(~linked(percent)).select("y", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("diff").alias("db"))
+    fringe = fringe.join(near.select("y").distinct(), "y", "left_semi")
     entries = fringe.select("y", "b", F.explode("db").alias("e"))
     heavy = entries.groupBy("y", "e").agg(F.count("*").alias("df"))
     own = near.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "a", F.size("da").alias("size"), F.explode("da").alias("e"))

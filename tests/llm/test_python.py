@@ -77,6 +77,46 @@ def test_near_copy_family_with_fringe(spark):
     check_components(minhash.near_duplicates(docs(spark, data), 2, 80).collect(), data, 2, 80)
 
 
+def seen_rows(sets, pairs):
+    """What verify() returns for the pairs (x, y)."""
+    return [(x, y, len(sets[x] & sets[y]), len(sets[x]), len(sets[y]), sorted(sets[x] ^ sets[y])) for x, y in pairs]
+
+
+def similar(a, b):
+    return len(a & b) / len(a | b)
+
+
+def check_owed(spark, families, percent=80):
+    """All links of near members to fringe members are found, and nothing else, in whatever order a pair was seen."""
+    r = random.Random(11)
+    data, sets, owed = [], {}, set()
+    for family in families:
+        at = len(sets)
+        own = dict(enumerate(family, at))
+        sets |= own
+        data += seen_rows(sets, [(at, m) if r.random() < 0.5 else (m, at) for m in own if m != at and similar(sets[at], sets[m]) >= minhash.FRINGE])
+        near = [m for m in own if m != at and 100 * similar(sets[at], sets[m]) >= percent]
+        fringe = [m for m in own if minhash.FRINGE <= similar(sets[at], sets[m]) < percent / 100]
+        owed |= {(a, b) for a in near for b in fringe if 100 * similar(sets[a], sets[b]) >= percent}
+    seen = spark.createDataFrame(data, "x long, y long, inter long, nx long, ny long, diff array<bigint>")
+    got = {(row["x"], row["y"]) for row in minhash.by_differences(seen, percent).collect()}
+    assert owed and owed <= got
+    assert all(100 * similar(sets[a], sets[b]) >= percent for a, b in got)
+
+
+def test_links_are_owed_in_either_order(spark):
+    r = random.Random(5)
+    families = []
+    for _ in range(60):
+        likely = r.sample(range(90), 14)  # copies are changed in much the same places
+        family = [set(range(90))]
+        for i in range(14):
+            new = set(r.sample(likely, r.randrange(7, 11) if i % 2 else r.randrange(11, 15)))
+            family.append({v + 1000 if v in new else v for v in range(90)})
+        families.append(family)
+    check_owed(spark, families)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, []), 5, 80).count() == 0
     check_components(minhash.near_duplicates(docs(spark, [(1, None), (2, "")]), 5, 80).collect(), [(1, None), (2, "")], 5, 80)

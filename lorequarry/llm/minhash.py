@@ -145,19 +145,22 @@ def by_differences(seen: DataFrame, percent: int) -> DataFrame:
     """Links between members near a centre and members at its fringe. With d the symmetric
     difference and s the sum of sizes, similarity p/100 means d * (100 + p) <= s * (100 - p);
     d(a, b) = |a'| + |b'| - 2 |a' n b'| for differences a', b' to the centre, and |b'| alone
-    exceeds what d may be, so a' n b' holds at least half of a'. A pair is in ``seen`` in one
+    exceeds (|b| + |c|) * (100 - p) / (100 + p) for the centre c, so a' n b' holds more than half
+    of |a'| - (|a| - |c|) * (100 - p) / (100 + p). A pair is in ``seen`` in one
     order only, and either end may be the centre of a later list, so both orders count."""
     seen = seen.where(F.col("diff").isNotNull())
     seen = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "inter", F.col("ny").alias("nx"), F.col("nx").alias("ny"), "diff"))
-    near = seen.where(linked(percent)).select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("diff").alias("da"))
+    near = seen.where(linked(percent)).select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("ny").alias("nc"), F.col("diff").alias("da"))
     fringe = seen.where(~linked(percent)).select("y", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("diff").alias("db"))
     fringe = fringe.join(near.select("y").distinct(), "y", "left_semi")
     entries = fringe.select("y", "b", F.explode("db").alias("e"))
     heavy = entries.groupBy("y", "e").agg(F.count("*").alias("df"))
-    own = near.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "a", F.size("da").alias("size"), F.explode("da").alias("e"))
-    found = own.join(heavy, ["y", "e"]).groupBy("y", "a", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    own = near.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "a", "na", "nc", F.size("da").alias("size"), F.explode("da").alias("e"))
+    found = own.join(heavy, ["y", "e"]).groupBy("y", "a", "na", "nc", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
     free = F.col("size") - F.size("es")  # differences that no fringe member has come first
-    take = F.greatest(F.lit(0), F.floor(F.col("size") / 2) + 1 - free).cast("int")
+    # differences that b' may lack, doubled: |a'|, and more if a is larger than the centre
+    lacking = F.col("size") * (100 + percent) + F.greatest(F.lit(0), F.col("na") - F.col("nc")) * (100 - percent)
+    take = F.greatest(F.lit(0), F.floor(lacking / (2 * (100 + percent))) + 1 - free).cast("int")
     keys = found.select("y", "a", F.explode(F.transform(F.slice("es", 1, take), lambda s: s["e"])).alias("e"))
     pairs = keys.join(entries, ["y", "e"]).where("a <> b").select("y", "a", "b").distinct()
     full = pairs.join(near, ["y", "a"]).join(fringe, ["y", "b"])

@@ -117,6 +117,23 @@ def test_links_are_owed_in_either_order(spark):
     check_owed(spark, families)
 
 
+def test_links_are_owed_whatever_the_sizes(spark):
+    c = set(range(100))
+    a = c | set(range(200, 225))
+    b = set(range(11, 100)) | set(range(200, 212))
+    check_owed(spark, [[c, a, b]])  # a is larger than the centre, and b' lacks more than half of a'
+    r = random.Random(6)
+    families = []
+    for _ in range(80):
+        more = list(range(200, 230))
+        family = [set(c)]
+        for i in range(14):
+            gone, come = r.sample(sorted(c), r.randrange(0, 16)), r.sample(more, r.randrange(0, 26))
+            family.append(c - set(gone) | set(come))
+        families.append(family)
+    check_owed(spark, families)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, []), 5, 80).count() == 0
     check_components(minhash.near_duplicates(docs(spark, [(1, None), (2, "")]), 5, 80).collect(), [(1, None), (2, "")], 5, 80)

@@ -3,7 +3,8 @@
 A text is lower-cased and cut to words; overlapping windows of ``WINDOW`` words, ``STRIDE``
 apart, cover all of it. A word enters the network twice: as an entry of a hashed word table
 and as the mean of hashed entries of its character 2-, 3- and 4-grams, so altered spellings
-of a word stay near to it. Two gated recurrent layers read the window in both directions,
+of a word stay near to it; a run of more than ``LONGEST`` bytes without a blank is cut to overlapping
+pieces, each a word of its own, so all of it is read. Two gated recurrent layers read the window in both directions,
 attention weights pool their states, and a logit follows. A text's logit is that of its worst
 window; two numbers fitted on held-back training rows turn it to a score from 0 to 1.
 
@@ -36,27 +37,34 @@ HIDDEN, WIDTH = 8, 8  # state of each direction; entries of either table
 WORD_SLOTS, GRAM_SLOTS = 1 << 15, 1 << 15
 MAX_TOXIC, MAX_CLEAN = 1500, 2500
 EPOCHS, LEAST_STEPS, BATCH = 8, 240, 64
-LONGEST = 24  # bytes of a word that give character grams: its first 12 and last 12 beyond that
+LONGEST = 24  # bytes of a word; longer ones are cut to pieces of so many, half of them shared with the next
 CACHE = 150_000
 TOKEN = re.compile(rb"[^\x00-\x20]+")
 EDGE = b"\".,;:!?()[]{}<>|*%$&#'`-_"
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return [w.strip(EDGE) or w for w in text.lower().split()]
+    half = LONGEST // 2
+    out: list[bytes] = []
+    for w in text.lower().split():
+        w = w.strip(EDGE) or w
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            out += [w[i : i + LONGEST] for i in range(0, len(w) - half, half)]
+    return out
 
 
 def gram_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(words, positions) slots of the character grams, and which positions count."""
-    rows = [w if len(w) <= LONGEST else w[: LONGEST // 2] + w[-LONGEST // 2 :] for w in words]
-    flat = np.zeros((len(rows), LONGEST + 2), np.uint64)
-    raw = np.frombuffer(b"".join(r.ljust(LONGEST, b"\0") for r in rows), np.uint8).reshape(len(rows), LONGEST)
+    """(words, positions) slots of the character grams, and which positions count. Words have at most LONGEST bytes."""
+    flat = np.zeros((len(words), LONGEST + 2), np.uint64)
+    raw = np.frombuffer(b"".join(w.ljust(LONGEST, b"\0") for w in words), np.uint8).reshape(len(words), LONGEST)
     flat[:, 1:-1] = raw
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    size = np.fromiter(map(len, words), np.int64, len(words))
     flat[:, 0] = 1  # the word's start; its end is the zero that follows
     out, use = [], []
     for n in (2, 3, 4):
-        h = np.full((len(rows), LONGEST + 3 - n), n, np.uint64)
+        h = np.full((len(words), LONGEST + 3 - n), n, np.uint64)
         for i in range(n):
             h = h * np.uint64(0x100000001B3) + flat[:, i : LONGEST + 3 - n + i]
         out.append((mix(h) % np.uint64(GRAM_SLOTS)).astype(np.int32))

@@ -303,6 +303,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in odd) and odd[2]["score"] > odd[0]["score"]
 
 
+def test_long_words_are_read_whole():
+    r = random.Random(8)
+    for n in (24, 25, 36, 37, 48, 49, 1000):
+        word = bytes(r.choice(b"abcdefghijklmnop") for _ in range(n))
+        parts = toxicity.tokens(b"one " + word + b" two")[1:-1]
+        assert all(len(p) <= toxicity.LONGEST for p in parts)
+        assert all(any(word[i : i + 12] in p for p in parts) for i in range(n - 11))
+    clean = [" ".join(r.choice(prose(i, 60).split()) for _ in range(40)) for i in range(200)]
+    y = np.arange(200) % 2
+    net = toxicity.train_net([(f"{t} worthless moron {t}" if x else t).encode() for t, x in zip(clean, y)], y.astype(float))
+    ends = clean[1].replace(" ", "_")[:60]
+    good, bad = (x.max() for x in toxicity.Scorer(net).logits([f"{ends}_lovely_people_{ends}".encode(), f"{ends}_worthless_moron_{ends}".encode()]))
+    assert bad > good + 1
+
+
 def test_gradients():
     """Backpropagation against differences."""
     net = toxicity.Net.new(3)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .quality import sample
 from .words import WordHashes, mix
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16  # a span of up to WINDOW - STRIDE + 1 words stands whole in a window
 HIDDEN, WIDTH = 8, 8  # state of each direction; entries of either table
 WORD_SLOTS, GRAM_SLOTS = 1 << 15, 1 << 15
 MAX_TOXIC, MAX_CLEAN = 1500, 2500

@@ -318,6 +318,14 @@ def test_long_words_are_read_whole():
     assert bad > good + 1
 
 
+def test_spans_of_half_a_window_stand_whole():
+    for n in (0, 1, 17, 31, 32, 33, 48, 49, 200):
+        got = [set(w[w >= 0].tolist()) for w in toxicity.windows(np.arange(n, dtype=np.int32))]
+        assert set().union(*got) == set(range(n))
+        span = toxicity.WINDOW // 2 + 1
+        assert all(any(set(range(i, i + span)) <= w for w in got) for i in range(n - span + 1))
+
+
 def test_gradients():
     """Backpropagation against differences."""
     net = toxicity.Net.new(3)

@@ -43,8 +43,12 @@ def similar_names(distinct: DataFrame, least: int = vocab.REVIEW_AT) -> DataFram
     """a, b, ratio: pairs of the names in column ``norm`` with an Indel ratio of at least ``least``.
 
     A pair so near has D <= (1 - (least - .5) / 100) * (both lengths) insertions and deletions, and
-    each spoils at most two bigrams of a name, so a name need only be listed under its 2 D + 1
-    rarest bigrams; lengths and the ratio itself decide the rest."""
+    each spoils at most two bigrams of a name, so if a pair has a bigram in common, it has one among
+    the 2 D + 1 rarest of either, and a name need only be listed under those; lengths and the ratio
+    itself decide the rest. Without a common bigram, two neighbours in the common subsequence (of
+    length L) are apart in one of the names, so 3 L <= both lengths + 1; as 200 L is at least
+    (least - .5) * both lengths, only short names can be so near (none from 85 on; all below 68,
+    and that costs a comparison of all pairs). Those pairs are compared one by one."""
     share = 1 - (least - 0.5) / 100
     n = F.length("norm")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring("norm", i, 2)))
@@ -58,6 +62,13 @@ def similar_names(distinct: DataFrame, least: int = vocab.REVIEW_AT) -> DataFram
     keys = ranked.select("norm", n.alias("n"), F.explode(F.transform(kept, lambda s: s["g"])).alias("g"))
     a, b = keys.toDF("a", "na", "g"), keys.toDF("b", "nb", "g")
     pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= share * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+    excess = 3 * (least - 0.5) / 200 - 1
+    if excess * 4 <= 1:  # together two different names have 4 characters at least, but for 'a' and 'ab' (67)
+        named = distinct.where("norm <> ''").select("norm", n.alias("n"), grams.alias("gs"))
+        a, b = named.toDF("a", "na", "ga"), named.toDF("b", "nb", "gb")
+        both = F.col("na") + F.col("nb")
+        apart = (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= share * both) & (excess * both <= 1) & ~F.arrays_overlap("ga", "gb")
+        pairs = pairs.unionByName(a.join(b, apart).select("a", "b").distinct())
 
     @F.arrow_udf("int")
     def ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -77,6 +77,14 @@ def raw(spark, rows):
     return relations.with_defaults(spark.createDataFrame([(i, 0, s, t, o, v, n, c, j, None, None, None, (f"c{i}", f"d{i}", "low", None)) for i, (s, t, o, v, n, c, j) in enumerate(rows)], RAW))
 
 
+@pytest.mark.parametrize("least", [60, 67, 68, 72, 85])
+def test_similar_names_without_a_common_bigram(spark, least):
+    r = random.Random(9)
+    given = {"abc", "axbxc", "a", "ab", "xa", "abcdef", "axbxcxdxexf"} | {"".join(r.choice("abcxyz") for _ in range(r.randrange(1, 9))) for _ in range(150)}
+    got = {(x["a"], x["b"], x["ratio"]) for x in resolve.similar_names(spark.createDataFrame([(x,) for x in sorted(given)], "norm string"), least).collect()}
+    assert got == {(a, b, names.indel_ratio(a, b)) for a in given for b in given if a < b and names.indel_ratio(a, b) >= least}
+
+
 def test_stubs_properties_and_defaults(spark):
     canon = spark.createDataFrame([("known", "Known"), ("alias", "Known")], "norm string, canonical string")
     df = raw(spark, [

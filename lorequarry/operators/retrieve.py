@@ -19,7 +19,7 @@ from ..storage import materialize
 from . import relations as R
 from .resolve import similar_names
 
-LONGEST = 5  # words of a name that is looked for in a question
+RUNS = 5  # words of the runs of a question that are looked up at least; more if a name has more
 TOKEN = r"[^\p{L}\p{N}_#\-]+"
 
 
@@ -27,13 +27,15 @@ def seeds(questions: DataFrame, entities: DataFrame, fuzzy_threshold: int = 85)
     """qid, canonical_name, ratio."""
     names = entities.select("canonical_name", F.explode(F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     names = names.select("canonical_name", text.norm(F.col("name")).alias("norm")).where("norm <> ''").distinct()
+    longest = names.agg(F.greatest(F.max(F.size(F.split("norm", " "))), F.lit(RUNS)).alias("_longest"))
     w = F.filter(F.split(F.lower("question"), TOKEN), lambda x: x != "")
 
-    def run(k: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+    def run(k):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice("_w", i, k), " "))
 
-    runs = F.flatten(F.array(*[run(k) for k in range(1, LONGEST + 1)]))
-    grams = questions.select("qid", F.explode(F.array_distinct(runs)).alias("norm")).where("norm <> ''")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.least("_longest", F.size("_w")), F.lit(1))), run))
+    asked = questions.select("qid", w.alias("_w")).crossJoin(F.broadcast(longest))
+    grams = asked.select("qid", F.explode(F.array_distinct(runs)).alias("norm")).where("norm <> ''")
     exact = grams.join(names, "norm").select("qid", "canonical_name", F.lit(100).alias("ratio"))
     if fuzzy_threshold >= 100:
         return exact.distinct()

@@ -199,3 +199,13 @@ def test_retrieval(spark):
     assert any("capped" in w for w in got[1]["warnings"]) and got[3]["warnings"] == ["no entity of the question is known"]
     out = {r["qid"]: r["answer"] for r in answer.answer_questions(qs, ents, edges, chunks).collect()}
     assert out[3] == answer.NO_EVIDENCE and "Alpha --leads--> Beta [d, p. 1]" in out[1]
+
+
+def test_seeds_of_many_words(spark):
+    long = "The Society for the Prevention of Cruelty to Animals of Upper Norwood"
+    ents = spark.createDataFrame([("Alpha", ["alias of no less than six words"]), (long, None), ("Beta", [])], "canonical_name string, aliases array<string>")
+    qs = spark.createDataFrame([(1, f"Who leads {long}?"), (2, "Is it the alias of no less than six words, or beta?"), (3, long), (4, ""), (5, None), (6, "beta")], "qid long, question string")
+    want = {(1, long), (2, "Alpha"), (2, "Beta"), (3, long), (6, "Beta")}
+    for threshold in (100, 90):
+        assert {(r["qid"], r["canonical_name"]) for r in retrieve.seeds(qs, ents, threshold).collect()} == want
+    assert retrieve.seeds(qs, ents.limit(0), 100).count() == 0

@@ -32,7 +32,7 @@ from .words import slices
 WINDOW, END = 2048, 1
 CUT = re.compile(r"(?<=\S) (?=\S)")
 CACHE = 500_000
-COLUMNS = 30_000
+BLOCK = 1 << 20  # pairs of lengths that are tried at once
 
 
 class Index(dict):
@@ -131,23 +131,25 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
     return source.mapInArrow(cut, "doc_id long, doc_tokens long, start long, length long, ids_crc32 long")
 
 
-def combinations(lengths: np.ndarray, window: int, columns: int = COLUMNS) -> np.ndarray:
-    """(combinations, 3) indices into ``lengths`` (len(lengths) for none) whose lengths fill a window exactly."""
+def combinations(lengths: np.ndarray, window: int, block: int = BLOCK) -> np.ndarray:
+    """(combinations, 3) indices into ``lengths`` (ascending; len(lengths) for none): all pairs and triples
+    of lengths that fill a window exactly."""
     none = len(lengths)
     where = np.full(window + 1, -1)
     where[lengths] = np.arange(none)
     a = np.arange(none)
     rest = window - lengths
     ok = (rest >= lengths) & (where[rest] >= 0)
-    two = np.stack([a[ok], where[rest[ok]], np.full(ok.sum(), none)], 1)
-    step = max(1, -(-none * none // (2 * columns)))
-    i, j = np.triu_indices(none)
-    i, j = i[::step], j[::step]
-    rest = window - lengths[i] - lengths[j]
-    ok = (rest >= lengths[j]) & (rest > 0)
-    ok[ok] = where[rest[ok]] >= 0
-    three = np.stack([i[ok], j[ok], where[rest[ok]]], 1)
-    return np.concatenate([two, three])
+    out = [np.stack([a[ok], where[rest[ok]], np.full(ok.sum(), none)], 1)]
+    rows = max(1, block // max(1, none))
+    for at in range(0, none, rows):
+        i, j = np.indices((min(rows, none - at), none)).reshape(2, -1)
+        i += at
+        rest = window - lengths[i] - lengths[j]
+        ok = (i <= j) & (rest >= lengths[j])
+        ok[ok] = where[rest[ok]] >= 0
+        out.append(np.stack([i[ok], j[ok], where[rest[ok]]], 1))
+    return np.concatenate(out)
 
 
 def solve(combos: np.ndarray, counts: np.ndarray, steps: int = 300) -> np.ndarray:

@@ -257,6 +257,17 @@ def test_tokens_by_pieces_equal_the_tokenizer():
         assert list(ids) == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_all_pairs_and_triples_are_tried():
+    r = random.Random(12)
+    for lengths, window in ((range(1, 700), 700), (sorted(r.sample(range(1, 300), 90)), 300), ([5], 15), ([], 10)):
+        have, combos = set(lengths), packing.combinations(np.array(lengths, np.int64), window, 1000)
+        named = [*lengths, 0]
+        got = [tuple(sorted(named[i] for i in c)) for c in combos]
+        want = {(0, x, window - x) for x in have if x <= window - x and window - x in have}
+        want |= {(x, y, window - x - y) for x in have for y in have if x <= y <= window - x - y and window - x - y in have}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_plan_wastes_little():
     r = random.Random(1)
     counts = defaultdict(int)

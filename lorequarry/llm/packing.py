@@ -9,17 +9,20 @@ first, best fit), also on counts. The plan is a table of (length, ranks) -> (seq
 offset); pieces find their place by their rank among pieces of their length, which is
 counted in runs, so a length that a third of the pieces share is spread over tasks.
 
-Defined results: null and empty texts are one token, the end mark; repeated rows are packed
-each; an empty table gives no pieces; other input columns are ignored.
+Defined results: null and empty texts are one token, the end mark; the string of an added token
+in a text is that token, as the tokenizer has it (with ``added_as_text``, ordinary text); repeated
+rows are packed each; an empty table gives no pieces; other input columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+import types
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,96 +33,84 @@ from .common import materialize
 from .words import slices
 
 WINDOW, END = 2048, 1
-CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE = 500_000
+#: Fixed value: the pattern by which the byte-level vocabularies split texts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_BLANKS = 5_000
+RUN = re.compile(r"\s{%d}" % LONG_BLANKS)
+KEPT = "lorequarry_packing_worker"  # not a file: where a worker process keeps its encoder
 BLOCK = 1 << 20  # pairs of lengths that are tried at once
 
 
-class Index(dict):
-    """piece -> row; gives a new piece the next row and notes it."""
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for bytes: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
 
-    def __missing__(self, piece) -> int:
-        row = self[piece] = len(self)
-        self.new.append(piece)
-        return row
+class Encoder:
+    """Token ids of texts, as the tokenizer file's own library gives them.
 
+    A plain byte-level BPE vocabulary whose ids follow its merges is run by a faster library with
+    the same ranks. Any other file, texts that hold an added token, and texts with a run of blanks
+    too long for that library's pattern go to the file's own. With ``added_as_text`` the
+    strings of added tokens are ordinary text."""
 
-class Pieces:
-    """Token ids of texts by way of a cache of pieces.
+    def __init__(self, path: str, added_as_text: bool = False):
+        self.path, self.as_text, self.own = path, added_as_text, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [] if added_as_text else [t["content"] for t in spec.get("added_tokens") or []]
+        ranks = self.ranks(spec)
+        self.fast = None
+        if ranks:
+            import tiktoken
 
-    The tokenizer's pattern never joins what a single blank or line end between two other
-    characters separates (a blank begins the next token, a line end is one), so the pieces between
-    can be encoded alone. Texts with longer runs of white space, or other kinds of it, are cut at
-    single blanks only. A piece that a blank precedes is kept without it, one that begins a text or
-    follows anything else as a tuple of one."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.forget()
-
-    def forget(self) -> None:
-        self.index = Index()
-        self.ids = np.empty(0, np.uint32)
-        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+            self.fast = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @staticmethod
-    def cut(text: str) -> list:
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
-            own = text.replace("\n", " \n").split(" ")
-            if "" in own or "\n" in own:  # a run of blanks or line ends, made up for by tabs and the like
-                own = CUT.split(text)
-        else:
-            own = CUT.split(text)
-        own[0] = (own[0],)
-        return own
-
-    def learn(self) -> None:
-        new, self.index.new = self.index.new, []
-        if not new:
-            return
-        # a line end that was cut off stands for itself
-        got = [e.ids for e in self.encode([p[0] if type(p) is tuple else p if p[0] == "\n" else " " + p for p in new], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > CACHE:
-            self.forget()
-        find, rows = self.index.__getitem__, []
-        for t in texts:
-            own = self.cut(t)
-            rows.append(np.fromiter(map(find, own), np.int64, len(own)))
-        self.learn()
-        out = []
-        for row in rows:
-            size = self.size[row]
-            end = np.cumsum(size)
-            out.append(self.ids[np.repeat(self.at[row] - end + size, size) + np.arange(end[-1])])
-        return out
-
-
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ranks(spec: dict) -> dict[bytes, int] | None:
+        model, pre, letters = spec["model"], spec.get("pre_tokenizer") or {}, byte_letters()
+        plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        vocab = {k: v for k, v in model["vocab"].items() if k not in {t["content"] for t in spec.get("added_tokens") or []}}
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        in_order = all(vocab.get(m) == 256 + i for i, m in enumerate(merged)) and len(vocab) == 256 + len(merged) and all(vocab.get(c, 256) < 256 for c in letters)
+        return {bytes(letters[c] for c in k): v for k, v in vocab.items()} if in_order else None
+
+    def slow(self, text: str) -> list[int]:
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+            self.own.encode_special_tokens = self.as_text
+        return self.own.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str) -> list[int]:
+        odd = any(t in text for t in self.added) or (len(text) >= LONG_BLANKS and RUN.search(text))
+        return self.slow(text) if odd or not self.fast else self.fast(text)
+
+
+def encoder(path: str, added_as_text: bool = False) -> Encoder:
+    """The encoder of this worker process, which its tasks share."""
+    kept = sys.modules.setdefault(KEPT, types.ModuleType(KEPT)).__dict__.setdefault("encoders", {})
+    key = (path, added_as_text)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(path, added_as_text)
+    return kept[key]
+
+
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text", added_as_text: bool = False) -> DataFrame:
     """doc_id, doc_tokens, start, length, ids_crc32: each document's tokens, cut at multiples of the window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = Pieces(tokenizer)
+        own = encoder(tokenizer, added_as_text)
         for batch in slices(batches, 128):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.of([t or "" for t in batch["text"].to_pylist()]), strict=True):
-                data = np.append(ids, np.uint32(end)).astype("<u4").tobytes()
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                data = np.array([*own.ids(text.as_py() or ""), end], "<u4").tobytes()
                 total = len(data) // 4
                 for s in range(0, total, window):
                     part = data[4 * s : 4 * min(total, s + window)]
@@ -228,9 +219,9 @@ def places(sequences: list[tuple[tuple[int, ...], int]], window: int) -> np.ndar
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, rows_per_run: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, rows_per_run: int = 500_000, id_col: str = "doc_id", text_col: str = "text", added_as_text: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row per piece."""
-    cut = materialize(pieces(docs, tokenizer, window, end, id_col, text_col), "pieces")
+    cut = materialize(pieces(docs, tokenizer, window, end, id_col, text_col, added_as_text), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most ``window`` rows
     table = places(plan(histogram, window), window)
     runs = max(16, -(-max(histogram.values(), default=0) // rows_per_run))

@@ -216,10 +216,9 @@ def test_warc_payloads_survive(spark):
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
-    data = rows()
+    data = rows() + [(310, "a <|endoftext|> b"), (311, "x" + " " * 9000 + "y")]
     got = packing.pack(docs(spark, data), queries.default_tokenizer(), rows_per_run=2).collect()
     tok = Tokenizer.from_file(queries.default_tokenizer())
-    tok.encode_special_tokens = True
     want = defaultdict(list)
     for d, t in data:
         want[d].append([*tok.encode(t or "", add_special_tokens=False).ids, 1])
@@ -244,17 +243,32 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, []), queries.default_tokenizer()).count() == 0
 
 
-def test_tokens_by_pieces_equal_the_tokenizer():
+@pytest.mark.parametrize("as_text", [False, True])
+def test_tokens_equal_those_of_the_tokenizer(as_text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.default_tokenizer())
-    tok.encode_special_tokens = True
-    own = packing.Pieces(queries.default_tokenizer())
+    tok.encode_special_tokens = as_text
+    own = packing.Encoder(queries.default_tokenizer(), as_text)
+    assert own.fast and (as_text or list(own.ids("a <|endoftext|> b")) == [64, 220, 50256, 275])
     r = random.Random(2)
-    parts = ["word", "don't", " ", "  ", "\n", "\n\n", "\t", ".", "é", "漢字", "12", "\xa0", "　", "<|endoftext|>", "\x1c", "\r\n", "!?", "'s"]
+    parts = ["word", "don't", " ", "  ", "\n", "\n\n", "\t", ".", "é", "漢字", "12", "\xa0", "　", "<|endoftext|>", "\x1c", "\r\n", "!?", "'s", "\u200b", "e\u0301", "😀", "\x00"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(400)]
-    for t, ids in zip(texts, own.of(texts), strict=True):
-        assert list(ids) == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    texts += ["".join(chr(c) for c in range(i, i + 64) if not 0xD800 <= c < 0xE000) for i in range(0, 0x12000, 64)]
+    texts += [" " * n + "x" + "\n" * n for n in (1, packing.LONG_BLANKS - 1, packing.LONG_BLANKS, 40_000)] + ["ab" * 50_000, (" " * (packing.LONG_BLANKS - 1) + ".") * 20]
+    for t in texts:
+        assert list(own.ids(t)) == tok.encode(t, add_special_tokens=False).ids, repr(t)[:100]
+
+
+def test_other_vocabularies_go_to_the_tokenizer(tmp_path):
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(queries.default_tokenizer()))
+    spec["model"]["merges"][5], spec["model"]["merges"][9] = spec["model"]["merges"][9], spec["model"]["merges"][5]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    own = packing.Encoder(str(path))
+    assert own.fast is None and own.ids("The cat sat") == Tokenizer.from_file(str(path)).encode("The cat sat", add_special_tokens=False).ids
 
 
 def test_all_pairs_and_triples_are_tried():

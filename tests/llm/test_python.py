@@ -187,11 +187,12 @@ def test_winnowing_guarantee():
         assert set(b.tolist()) & set(a.tolist())
 
 
-def test_warc_round_trip(spark):
-    html = {1: "<p>é" + "x" * 200, 2: "short", 3: "short", 4: None, 5: "", 6: "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" + "y" * 100, 7: "<p>é" + "x" * 200, 8: "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" + "y" * 100, 9: "z" * 100, 10: "z" * 100, 11: "z" * 99, 12: "z" * 99}
+@pytest.mark.parametrize("sent_rows", [0, 1000])
+def test_warc_round_trip(spark, sent_rows):
+    html = {1: "<p>é" + "x" * 200, 2: "short", 3: "short", 4: None, 5: "", 6: "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" + "y" * 100, 7: "<p>é" + "x" * 200, 8: "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" + "y" * 100, 9: "z" * 100, 10: "z" * 100, 11: "z" * 99, 12: "z" * 99, 13: "HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n" + "q" * 90}
     data = [(k, f"http://h/{k}\r\nX: y" if k == 6 else None if k == 7 else f"http://h/{k}", v, "clash") for k, v in html.items()]
     df = spark.createDataFrame(data, "page_id long, url string, html string, record_type string")
-    got = {r["page_id"]: r for r in warc.archive(df).collect()}
+    got = {r["page_id"]: r for r in warc.archive(df, sent_rows=sent_rows).collect()}
     assert len(got) == len(html)
     for k, v in html.items():
         raw = (v or "").encode()
@@ -203,14 +204,32 @@ def test_warc_round_trip(spark):
     assert warc.archive(df.limit(0)).count() == 0
     twice = warc.archive(df.where("page_id = 9").union(df.where("page_id = 9")).union(df.where("page_id = 10"))).collect()
     assert sorted((r["page_id"], r["record_type"]) for r in twice) == [(9, "response"), (9, "response"), (10, "revisit")]
+    loose = spark.createDataFrame([(None, "u", "w" * 100), (None, "v", "w" * 100), (3, "x", "w" * 100), (None, "u", "v" * 100), (None, "u", "v" * 100)], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.archive(loose, sent_rows=sent_rows).collect())
+    assert got == [(0, "response", None), (0, "response", None), (0, "revisit", 3), (0, "revisit", 3), (3, "response", None)]
 
 
 def test_warc_payloads_survive(spark):
-    df = spark.createDataFrame([(1, "u", "päy\r\n\r\nload" * 30)], "page_id long, url string, html string")
+    """Every byte, whatever line ends, separators and headers payloads begin, end or consist of."""
+    r = random.Random(4)
+    parts = ["\r", "\n", "\r\n", "\r\n\r\n", "ä", "x" * 50, "WARC/1.1\r\n", "Content-Length: 9", "\0", "HTTP/1.1 200 OK\r\n"]
+    html = {i: "".join(r.choice(parts) for _ in range(r.randrange(12))) for i in range(300)} | {300: "y\r\n" * 100_000}
+    df = spark.createDataFrame([(k, "u", v) for k, v in html.items()], "page_id long, url string, html string")
+    path = warc.fresh_path(spark, "test")
+    warc.write(warc.capture(df), path, records_per_file=7)
+    back = {x["page_id"]: bytes(x["payload"]).decode() for x in warc.read(spark, path).collect()}
+    assert back == html
+    heads = {x["page_id"]: (x["payload_bytes"], x["payload_digest"], x["payload"]) for x in warc.read(spark, path, payloads=False).collect()}
+    assert heads == {k: (len(v.encode()), hashlib.sha256(v.encode()).hexdigest(), None) for k, v in html.items()}
+
+
+def test_warc_urls(spark):
+    urls = {1: " http://a/ b ", 2: "http://a/\t\x00\x7f\r\nX: y", 3: "  ", 4: "", 5: None, 6: "http://é/漢", 7: "\n"}
+    df = spark.createDataFrame([(k, u, "h") for k, u in urls.items()], "page_id long, url string, html string")
     path = warc.fresh_path(spark, "test")
     warc.write(warc.capture(df), path)
-    back = warc.read(spark, path).collect()[0]
-    assert bytes(back["payload"]).decode() == "päy\r\n\r\nload" * 30 and back["url"] == "u"
+    back = {x["page_id"]: x["url"] for x in warc.read(spark, path).collect()}
+    assert back == {1: "%20http://a/ b%20", 2: "http://a/%09%00%7F%0D%0AX: y", 3: "%20%20", 4: "", 5: None, 6: "http://é/漢", 7: "%0A"}
 
 
 def test_packing_round_trip(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         lower = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(lower, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").unionByName(lower.toDF("x", "y")).distinct()
-        edges = materialize(small, "edges")
+        edges = release(materialize(small, "edges"), edges)
         now = edges.agg(F.count("*"), F.sum(F.hash("x", "y").cast("long")), F.sum(F.hash("y", "x", "y").cast("long"))).first()
         if now == before or not now[0]:
             return edges.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("component"))

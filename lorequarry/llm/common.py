@@ -2,49 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where a session names none (tests, notebooks in local mode) a default is set.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..storage import fresh_path, materialize, release, remove, sent, table
 
+__all__ = ["ascii_lower", "fresh_path", "materialize", "release", "remove", "sent", "sql_strings", "table"]
 
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/lorequarry-{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost
-    executor costs a reread instead of a recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table; works for any file system that Spark can reach."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -53,7 +19,6 @@ def ascii_lower(c: Column) -> Column:
 
 
 
-
 def sql_strings(values) -> str:
     """An array literal of strings as SQL text: one parse instead of a call for each value."""
     return "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"

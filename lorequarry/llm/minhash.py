@@ -2,35 +2,41 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles; its sketch the
 ``SKETCH`` least of them. Two documents are linked if the Jaccard similarity of their full
-sets is at least ``percent``; the result is each document's connected component.
+sets is at least ``percent`` (51 to 100); the result is each document's connected component.
 
-1. Documents with equal sets become one class; its smallest id represents it.
+1. Documents with equal sets become one class, which one of its rows represents.
 2. Inverted lists: each retained value lists its classes, by bands of set sizes. Two linked
-   sets share at least ``SHARED`` of ``SKETCH`` values (at 0.8, all but about four pairs in 10^6;
-   all pairs where sets are small enough to be kept whole), so with values ordered from rare to
-   common, a class need only enter the lists of its ``SKETCH - SHARED + 1`` rarest ones.
+   sets share at least ``shared_values(percent)`` of ``SKETCH`` values (all but about four pairs
+   in 10^6; all pairs where sets are small enough to be kept whole), so with values ordered from
+   rare to common, a class need only enter the lists of its rarest ones, as many as make sure
+   that a linked class meets it in one. Only ids and places in the sketch are exchanged for this.
 3. A list is not expanded to pairs. Its centre (the class with the most popular values) is
    compared with each member, in ``rounds`` rounds: what is within the threshold of the
    centre leaves the list. What is left of the lists is paired under the size bound and a
-   count of shared values.
-4. A member that left is still owed its links to those that stayed. Those lie within twice
-   the distance of the centre, and by how far symmetric differences to the centre must
-   overlap, they share one of the rarest half of its differences; an index of differences
-   finds them, so a large family of near copies costs its edits, not its square.
+   count of shared values, unless the links found so far connect it already.
+4. A member that left is still owed its links to those that stayed and that nothing connects with
+   the centre. Those lie within twice the distance of the centre, and by how far symmetric
+   differences to the centre must overlap, they share one of the rarest half of its differences;
+   an index of differences finds them, so a large family of near copies costs its edits, not
+   its square.
 5. The estimate from the union of two sketches discards hopeless pairs before texts are
    fetched; every link is confirmed on full sets.
 
-Components come from large-star and small-star rounds over links, written between rounds.
+Sketches and texts of what is compared are looked up by sending the wanted ids to the scan while
+they are at most ``storage.SENT_ROWS``; beyond it both sides are exchanged. Components come from
+large-star and small-star rounds over links, written between rounds.
 
 Defined results: null or empty texts have no shingles and are linked with nothing (their
 component is their own id); a text of fewer words than a shingle is one shingle; repeated
-rows are returned each, in one component; rows of one id are expected to have one text; rows
-without id get no links and a null component; other input columns are ignored.
+rows are returned each, in one component; rows of one id with different texts are judged each by
+its own text; rows without id get no links and a null component; other input columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +44,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..operators.components import components
+from .common import materialize, release, sent
 from .words import WordHashes, grams, slices
 
-SKETCH, SHARED = 64, 36
-FRINGE = 0.6
+SKETCH = 64
+MISSED = 5e-6
 ROUNDS = 2
+BANDS = 4  # a band of sizes spans this many times the ratio within which sizes of linked sets lie
+
+
+@cache
+def shared_values(percent: int) -> int:
+    """How many of SKETCH values two linked sets share but for a chance of MISSED."""
+    p, tail = percent / 100, 0.0
+    for t in range(SKETCH + 1):
+        tail += comb(SKETCH, t) * p**t * (1 - p) ** (SKETCH - t)
+        if tail > MISSED:
+            return t
+    return SKETCH
 
 
 def shingle_set(text: bytes | None, k: int, cache: WordHashes) -> np.ndarray:
@@ -52,50 +71,69 @@ def shingle_set(text: bytes | None, k: int, cache: WordHashes) -> np.ndarray:
     return np.unique(grams(h, min(k, len(h)))) if len(h) else h
 
 
-def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), ka, kb (hash of the set), sketch."""
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """rid (of the row), doc_id, h (hash of the text), n (set size), ka, kb (hash of the set), sketch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in slices(batches):
             n, ka, kb, sk = [], [], [], []
-            for text in batch["text"].to_pylist():
-                s = shingle_set(text, k, cache)
+            for text in batch["text"]:
+                s = shingle_set(text.as_py(), k, cache)
                 key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 n.append(len(s))
                 ka.append(key[0])
                 kb.append(key[1])
                 sk.append(s[:SKETCH].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(sk, pa.list_(pa.int64()))], ["doc_id", "n", "ka", "kb", "sketch"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(cut, "doc_id long, n long, ka long, kb long, sketch array<bigint>")
-
-
-def inverted_lists(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(lists, heads). lists: v (a value within a band of sizes), rep, n, pop, home, i (the value in 32 bits).
-    Sizes of linked classes differ by at most 100 / percent, so with bands of that width a class is
-    listed in its own (home) and the next. heads: rep, home, keys (the i of its lists there), short (its
-    sketch in 32 bits)."""
-    band = F.floor(F.ln(F.col("n").cast("double")) / np.log(100 / percent))
-    banded = classes.select("rep", "n", "sketch", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("b")).select("rep", "n", "sketch", "b.band", "b.home")
-    posts = banded.select("rep", "band", "home", F.explode("sketch").alias("value")).select("rep", "home", "value", F.xxhash64("value", "band").alias("v"))
-    common = posts.groupBy("v").agg(F.count("*").alias("df"), F.bool_or("home").alias("h")).where("df > 1 and h").select("v", "df")
-    # values are ordered by how many classes the band lists under them; all of a band agree on it
-    mine = posts.join(common, "v").groupBy("rep", "home").agg(F.array_sort(F.collect_list(F.struct("df", "v", "value"))).alias("vals"), F.avg(F.ln("df")).alias("pop"))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(n, pa.int64()), pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(sk, pa.list_(pa.int64()))], ["doc_id", "h", "n", "ka", "kb", "sketch"])
+
+    rows = docs.select("doc_id", "h", "text").mapInArrow(cut, "doc_id long, h long, n long, ka long, kb long, sketch array<bigint>")
+    return rows.withColumn("rid", F.monotonically_increasing_id())
+
+
+def reach(percent: int) -> float:
+    """Two members within the threshold of one another, one of them also of a centre: the other is at least so near to it."""
+    return max(0.0, 2 * percent - 100) / 100
+
+
+def band_of(n: Column, percent: int) -> tuple[Column, Column]:
+    """(a size's band, whether linked sets may be in the next)."""
+    u = F.ln(n.cast("double")) / log(100 / percent) if percent < 100 else n.cast("double") * BANDS
+    band = F.floor(u / BANDS)
+    return band, (u + 1 + 1e-9 >= (band + 1) * BANDS) if percent < 100 else F.lit(False)
+
+
+def listed(value: Column, band: Column) -> Column:
+    return F.xxhash64(value, band)
+
+
+def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """rep, n, home, pop (how popular its values are), vs: the lists that a class enters. A class is listed
+    in its own band of sizes (home) and, if linked ones may be there, in the next."""
+    band, over = band_of(F.col("n"), percent)
+    banded = classes.select("rep", "sketch", F.explode(F.when(over, F.array(band * 2 + 1, band * 2 + 2)).otherwise(F.array(band * 2 + 1))).alias("at"))
+    at_band, home = F.shiftright("at", 1), F.col("at") % 2  # odd: in its own band
+    posts = banded.select("rep", at_band.alias("band"), home.alias("home"), F.posexplode("sketch").alias("pos", "value"))
+    posts = posts.select("rep", (F.col("pos") * 2 + F.col("home")).cast("int").alias("place"), listed(F.col("value"), F.col("band")).alias("v"))
+    df = posts.groupBy("v").agg(F.count("*").alias("df"), F.max(F.col("place") % 2).alias("h")).where("df > 1 and h = 1").select("v", "df")
+    # values are ordered by how many classes the band lists under them, then by the values; all of a band agree on it
+    mine = posts.join(df, "v").groupBy("rep").agg(F.collect_list(F.col("df") * 256 + F.col("place")).alias("all"))
+    mine = mine.join(classes.select("rep", "n"), "rep")
+    of = lambda own: F.struct(F.lit(own).alias("home"), F.array_sort(F.filter("all", lambda x: x % 2 == own)).alias("vals"))
+    mine = mine.select("rep", "n", F.explode(F.array(of(1), of(0))).alias("o")).select("rep", "n", "o.home", "o.vals")
     size = F.least(F.col("n"), F.lit(SKETCH))
     # a set below this size, and all that it can be linked to, are kept whole
     whole = F.col("n") * 100 <= SKETCH * percent
-    shared = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(size * SHARED / SKETCH))
-    mine = mine.join(classes, "rep")
+    shared = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(size * shared_values(percent) / SKETCH))
     alone = size - F.size("vals")  # values that no other class of the band has come first
-    vals = F.slice("vals", 1, F.greatest(F.lit(0), size - shared + 1 - alone).cast("int"))
-    low = lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")
-    mine = mine.select("rep", "home", "n", F.round(F.col("pop") * F.size("vals") / size, 6).alias("pop"), vals.alias("vals"), F.transform("sketch", low).alias("short")).where("size(vals) > 0")
-    mine = materialize(mine, "heads")
-    lists = mine.select("rep", "n", "pop", "home", F.explode("vals").alias("s")).select("s.v", "rep", "n", "pop", "home", low(F.col("s.value")).alias("i"))
-    full = lists.groupBy("v").agg(F.count("*").alias("m"), F.bool_or("home").alias("h")).where("m > 1 and h").select("v")
-    return materialize(lists.join(full, "v"), "lists"), mine.select("rep", "home", F.transform("vals", lambda s: low(s["value"])).alias("keys"), "short")
+    first = F.slice("vals", 1, F.greatest(F.lit(0), size - shared + 1 - alone).cast("int"))
+    pop = F.aggregate("vals", F.lit(0.0), lambda s, x: s + F.ln(F.shiftright(x, 8).cast("double"))) / size
+    heads = mine.select("rep", "n", "home", (pop * 1000).cast("int").alias("pop"), F.transform(first, lambda x: F.shiftright(x % 256, 1).cast("int")).alias("places"))
+    heads = materialize(heads.where("size(places) > 0"), "heads")
+    band, _ = band_of(F.col("n"), percent)
+    full = sent(heads, "rep", classes.select("rep", "sketch"))
+    out = full.select("rep", "n", "home", "pop", F.transform("places", lambda p: listed(F.get("sketch", p), band + 1 - F.col("home"))).alias("vs"))
+    return release(materialize(out, "listed"), heads)
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -106,43 +144,45 @@ def estimate(x: Column, y: Column) -> Column:
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float, differences: bool) -> DataFrame:
     """x, y, inter, nx, ny, diff for pairs that the sketches don't rule out for similarity
-    ``least``; diff: the symmetric difference, if asked for and similarity is at least FRINGE."""
-    sk = classes.select("rep", "sketch")
+    ``least``; diff: the symmetric difference, if asked for and similarity is at least ``least``."""
+    pairs = materialize(pairs, "pairs")
+    either = lambda df: df.select(F.col("x").alias("rep")).union(df.select("y")).distinct()
+    sk = materialize(sent(either(pairs), "rep", classes.select("rep", "sketch")), "pair-sketches")
     margin = 5 * np.sqrt(least * (1 - least) / SKETCH)
     near = pairs.join(sk.toDF("y", "sy"), "y").join(sk.toDF("x", "sx"), "x").where(estimate(F.col("sx"), F.col("sy")) >= least - margin).select("x", "y")
-    near = materialize(near, "near-pairs")
-    wanted = near.select(F.col("x").alias("doc_id")).union(near.select("y")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    near = release(materialize(near, "near-pairs"), pairs, sk)
+    wanted = materialize(sent(either(near), "rep", classes.select("rep", "doc_id", "h")), "wanted")
+    texts = sent(wanted, ["doc_id", "h"], docs).groupBy("rep").agg(F.first("text").alias("text"))
+    texts = release(materialize(texts, "texts"), wanted)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sets = WordHashes(), {}
+        cache, last, b = WordHashes(), None, None
         for batch in slices(batches):
             inter, nx, ny, diff = [], [], [], []
             for y, tx, ty in zip(batch["y"].to_pylist(), batch["tx"], batch["ty"], strict=True):
-                b = sets.get(y)
-                if b is None:
-                    if len(sets) >= 64:
-                        sets.clear()
-                    b = sets[y] = shingle_set(ty.as_py(), k, cache)
+                if y != last:
+                    last, b = y, shingle_set(ty.as_py(), k, cache)
                 a = shingle_set(tx.as_py(), k, cache)
                 both = np.intersect1d(a, b, assume_unique=True)
                 inter.append(len(both))
                 nx.append(len(a))
                 ny.append(len(b))
-                close = differences and len(both) >= FRINGE * (len(a) + len(b) - len(both))
+                close = differences and len(both) >= least * (len(a) + len(b) - len(both))
                 diff.append(np.setxor1d(a, b, assume_unique=True).view(np.int64) if close else None)
             yield pa.RecordBatch.from_arrays([batch["x"], batch["y"], pa.array(inter, pa.int64()), pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(diff, pa.list_(pa.int64()))], ["x", "y", "inter", "nx", "ny", "diff"])
 
-    joined = near.join(texts.toDF("y", "ty"), "y").join(texts.toDF("x", "tx"), "x").select("x", "y", "tx", "ty")
-    return materialize(joined.mapInArrow(confirm, "x long, y long, inter long, nx long, ny long, diff array<bigint>"), "verified")
+    joined = near.join(texts.toDF("x", "tx"), "x").join(texts.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
+    out = materialize(joined.mapInArrow(confirm, "x long, y long, inter long, nx long, ny long, diff array<bigint>"), "verified")
+    return release(out, near, texts)
 
 
 def linked(percent: int) -> Column:
     return 100 * F.col("inter") >= percent * (F.col("nx") + F.col("ny") - F.col("inter"))
 
 
-def by_differences(seen: DataFrame, percent: int) -> DataFrame:
-    """Links between members near a centre and members at its fringe. With d the symmetric
+def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = None) -> DataFrame:
+    """Links between members near a centre and members at its fringe that ``joined`` (id, component) does not
+    connect with it. With d the symmetric
     difference and s the sum of sizes, similarity p/100 means d * (100 + p) <= s * (100 - p);
     d(a, b) = |a'| + |b'| - 2 |a' n b'| for differences a', b' to the centre, and |b'| alone
     exceeds (|b| + |c|) * (100 - p) / (100 + p) for the centre c, so a' n b' holds more than half
@@ -152,6 +192,9 @@ def by_differences(seen: DataFrame, percent: int) -> DataFrame:
     seen = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "inter", F.col("ny").alias("nx"), F.col("nx").alias("ny"), "diff"))
     near = seen.where(linked(percent)).select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("ny").alias("nc"), F.col("diff").alias("da"))
     fringe = seen.where(~linked(percent)).select("y", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("diff").alias("db"))
+    if joined is not None:
+        fringe = fringe.join(joined.toDF("y", "_cy"), "y", "left").join(joined.toDF("b", "_cb"), "b", "left")
+        fringe = materialize(fringe.where(F.coalesce("_cy", "y") != F.coalesce("_cb", "b")).select("y", "b", "nb", "db"), "fringe")
     fringe = fringe.join(near.select("y").distinct(), "y", "left_semi")
     entries = fringe.select("y", "b", F.explode("db").alias("e"))
     heavy = entries.groupBy("y", "e").agg(F.count("*").alias("df"))
@@ -170,16 +213,18 @@ def by_differences(seen: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """x, y: links between classes that give the components of all links."""
-    lists, heads = inverted_lists(classes, percent)
-    least = percent / 100
-    out_of_reach = min(FRINGE, least)
+    heads = inverted_lists(classes, percent)
+    lists = heads.select("rep", "n", "pop", "home", F.explode("vs").alias("v"))
+    several = lambda df: df.groupBy("v").agg(F.count("*").alias("m"), F.max("home").alias("h")).where("m > 1 and h = 1").select("v")
+    lists = materialize(lists.join(several(lists), "v"), "lists")
+    out_of_reach = reach(percent)
+    low = lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")
     seen = None
     for _ in range(rounds):
-        centres = lists.groupBy("v").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"), "n")).alias("c"), F.count("*").alias("m"), F.bool_or("home").alias("h"))
-        centres = centres.where("m > 1 and h").select("v", (-F.col("c.r")).alias("c"), F.col("c.n").alias("nc"))
+        centres = lists.groupBy("v").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"), "n")).alias("c"), F.count("*").alias("m"), F.max("home").alias("h"))
+        centres = centres.where("m > 1 and h = 1").select("v", (-F.col("c.r")).alias("c"), F.col("c.n").alias("nc"))
         members = lists.join(centres, "v").where("rep <> c")
-        near = (F.least("n", "nc") >= out_of_reach * F.greatest("n", "nc")) & (F.col("rep") != F.col("c"))
-        pairs = members.where(near).select(F.col("rep").alias("x"), F.col("c").alias("y")).distinct()
+        pairs = members.where(F.least("n", "nc") >= out_of_reach * F.greatest("n", "nc")).select(F.col("rep").alias("x"), F.col("c").alias("y")).distinct()
         if seen is not None:
             known = seen.select("x", "y")
             pairs = pairs.join(known, ["x", "y"], "left_anti").join(known.toDF("y", "x"), ["x", "y"], "left_anti")
@@ -188,51 +233,45 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int
         ball = seen.where(linked(percent))
         gone = ball.select(F.col("x").alias("rep"), F.col("y").alias("c"))
         gone = gone.unionByName(gone.toDF("c", "rep")).distinct()
-        lists = materialize(members.join(gone, ["rep", "c"], "left_anti").select(*lists.columns), "lists")
-    # of what is left, each pair once: in the list of the least value that both are listed under
-    full = lists.groupBy("v").agg(F.count("*").alias("m"), F.bool_or("home").alias("h")).where("m > 1 and h").select("v")
-    left = lists.join(full, "v").join(heads, ["rep", "home"]).select("v", "rep", "n", "home", "i", "keys", "short")
-    left = materialize(left, "leftover")
+        lists = release(materialize(members.join(gone, ["rep", "c"], "left_anti").select(*lists.columns), "lists"), lists)
+    ball = materialize(seen.where(linked(percent)).select("x", "y"), "ball")
+    joined = materialize(components(ball), "joined")
+    # of what is left, each pair that nothing connects yet, once: in the list of the least value that both are listed under
+    own = heads.select("rep", "home", F.transform("vs", low).alias("keys"))
+    left = lists.join(several(lists), "v").select("v", "rep", "n", "home")
+    left = release(materialize(left.join(joined.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "left"), lists)
+    ids = left.select("rep").distinct()
+    short = sent(ids, "rep", classes.select("rep", F.transform("sketch", low).alias("short")))
+    left = release(materialize(left.join(own, ["rep", "home"]).join(short, "rep"), "leftover"), left)
     a, b = (left.select("v", *[F.col(c).alias(f"{c}_{side}") for c in left.columns if c != "v"]) for side in "ab")
     sized = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
-    once = (F.col("home_a") | F.col("home_b")) & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("i_a"))
-    enough = F.size(F.array_intersect("short_a", "short_b")) >= F.ceil(F.least("n_a", "n_b", F.lit(SKETCH)) * SHARED / SKETCH)
-    rest = a.join(b, (a["v"] == b["v"]) & (F.col("rep_a") < F.col("rep_b")) & sized & once & enough)
+    once = (F.col("home_a") + F.col("home_b") > 0) & (F.array_min(F.array_intersect("keys_a", "keys_b")) == low(a["v"]))
+    enough = F.size(F.array_intersect("short_a", "short_b")) >= F.ceil(F.least("n_a", "n_b", F.lit(SKETCH)) * shared_values(percent) / SKETCH)
+    rest = a.join(b, (a["v"] == b["v"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & sized & once & enough)
     rest = rest.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).distinct()
     known = seen.select("x", "y")
     rest = rest.join(known, ["x", "y"], "left_anti").join(known.toDF("y", "x"), ["x", "y"], "left_anti")
-    late = verify(rest, classes, docs, k, least, False).where(linked(percent)).select("x", "y")
-    return seen.where(linked(percent)).select("x", "y").unionByName(late).unionByName(by_differences(seen, percent))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """id, component (the least id that it reaches), for ids with a link."""
-    # smaller end second; each round hangs neighbours on smaller ones until all hang on the least
-    edges = materialize(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.toDF("y", "x"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        lower = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(lower, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").unionByName(lower.toDF("x", "y")).distinct()
-        edges = materialize(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("x", "y").cast("long")), F.sum(F.hash("y", "x", "y").cast("long"))).first()
-        if now == before or not now[0]:
-            return edges.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("component"))
-        before = now
+    late = verify(rest, classes, docs, k, percent / 100, False).where(linked(percent)).select("x", "y")
+    return ball.unionByName(late).unionByName(by_differences(seen, percent, joined))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
     rows = materialize(sketches(docs, k), "sketches")
     own = rows.where("n > 0 and doc_id is not null")
-    classes = materialize(own.groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count("*").alias("members")), "classes")
-    joined = components(links(docs, classes.select("rep", "n", "sketch"), k, percent))
-    named = classes.join(joined, classes["rep"] == joined["id"], "left").where("id is not null or members > 1")
-    named = named.select("ka", "kb", F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c"))
+    groups = own.groupBy("ka", "kb", "n").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count("*").alias("members"))
+    groups = materialize(groups.select("ka", "kb", "n", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("least"), "members"), "groups")
+    copies = sent(groups.where("members > 1").select("ka", "kb", "n", "rep"), ["ka", "kb", "n"], own.select("rid", "ka", "kb", "n"))
+    copies = materialize(copies.where("rid <> rep").select(F.col("rid").alias("rep")), "copies")
+    classes = sent(copies, "rep", own.select(F.col("rid").alias("rep"), "doc_id", "h", "n", "sketch"), "left_anti")
+    joined = materialize(components(links(docs, classes, k, percent)), "joined")
+    joined = joined.unionByName(joined.select(F.col("component").alias("id"), "component").distinct())
+    named = groups.join(joined, groups["rep"] == joined["id"], "left").where("id is not null or members > 1")
+    named = materialize(named.select("ka", "kb", "n", "least", F.coalesce("component", "rep").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("_c"))
+    named = materialize(named.join(least, "component").select("ka", "kb", "n", "_c"), "classes")
     # only sets that recur or are linked are looked up
-    out = rows.join(named, (rows["ka"] == named["ka"]) & (rows["kb"] == named["kb"]) & (rows["n"] == F.col("_n")), "left")
+    out = sent(named, ["ka", "kb", "n"], rows.select("doc_id", "h", "n", "ka", "kb"), "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"), F.col("h").alias("text_hash"))

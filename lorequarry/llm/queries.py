@@ -24,7 +24,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80).drop("text_hash")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,11 +54,35 @@ def check_components(got, data, k, percent):
         assert r["n_shingles"] == size[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-@pytest.mark.parametrize(("k", "percent"), [(2, 80), (5, 80)])
-def test_near_duplicates(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "sent"), [(2, 80, True), (5, 80, False), (2, 65, True), (2, 100, True)])
+def test_near_duplicates(spark, monkeypatch, k, percent, sent):
+    if not sent:  # both sides of the look-ups are exchanged
+        monkeypatch.setattr("lorequarry.storage.SENT_ROWS", -1)
     check_components(minhash.near_duplicates(docs(spark), k, percent).collect(), rows(), k, percent)
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    data = [(1, prose(1, 60)), (1, prose(2, 60)), (2, prose(2, 60)), (0, prose(1, 60)), (3, prose(3, 60)), (3, prose(3, 60))]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark, data)).collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True)]
+
+
+def test_values_that_linked_sets_share():
+    assert minhash.shared_values(80) == 36
+    r, missed = random.Random(3), 0
+    for _ in range(2000):
+        both, one, two = (set(r.random() for _ in range(n)) for n in (400, 50, 50))
+        missed += len(set(sorted(both | one)[:64]) & set(sorted(both | two)[:64])) < 36
+    assert missed == 0
+
+
+def test_sizes_of_linked_sets_share_a_band(spark):
+    rows_ = spark.createDataFrame([(n,) for n in range(1, 4000)], "n long")
+    band, over = minhash.band_of(F.col("n"), 80)
+    at = {r["n"]: {r["b"]} | ({r["b"] + 1} if r["o"] else set()) for r in rows_.select("n", band.alias("b"), over.alias("o")).collect()}
+    assert all(at[n] & {min(at[m])} for n in range(1, 3000) for m in {n, n * 5 // 4, min(n * 5 // 4, n + 1)})
+
+
 def test_near_copy_family_with_fringe(spark):
     """A large family of near copies at all distances, whose links partly avoid the centre."""
     r = random.Random(4)
@@ -94,9 +118,9 @@ def check_owed(spark, families, percent=80):
         at = len(sets)
         own = dict(enumerate(family, at))
         sets |= own
-        data += seen_rows(sets, [(at, m) if r.random() < 0.5 else (m, at) for m in own if m != at and similar(sets[at], sets[m]) >= minhash.FRINGE])
+        data += seen_rows(sets, [(at, m) if r.random() < 0.5 else (m, at) for m in own if m != at and similar(sets[at], sets[m]) >= minhash.reach(percent)])
         near = [m for m in own if m != at and 100 * similar(sets[at], sets[m]) >= percent]
-        fringe = [m for m in own if minhash.FRINGE <= similar(sets[at], sets[m]) < percent / 100]
+        fringe = [m for m in own if minhash.reach(percent) <= similar(sets[at], sets[m]) < percent / 100]
         owed |= {(a, b) for a in near for b in fringe if 100 * similar(sets[a], sets[b]) >= percent}
     seen = spark.createDataFrame(data, "x long, y long, inter long, nx long, ny long, diff array<bigint>")
     got = {(row["x"], row["y"]) for row in minhash.by_differences(seen, percent).collect()}
@@ -410,6 +434,8 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(ids(clean) & set(range(2000, 2060))) < 12 and len(ids(clean) & set(range(120))) > 110
     once = stages["near_duplicates"](spark, table, str(tmp_path))
     assert 5000 not in ids(once) and 1 in ids(once) and once.where("doc_id = 5003").count() == 1 and once.columns == table.columns
+    two = table.where("doc_id = 1").unionByName(table.where("doc_id = 2").withColumn("doc_id", F.lit(1).cast("long"))).unionByName(table.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    assert stages["near_duplicates"](spark, two.unionByName(two), str(tmp_path)).groupBy().agg(F.count("*"), F.countDistinct("text")).first()[:] == (4, 3)
     pure = stages["decontamination"](spark, table, str(tmp_path))
     assert ids(table) - ids(pure) == {5001}
     assert ids(stages["packing"](spark, table, str(tmp_path))) == ids(table)

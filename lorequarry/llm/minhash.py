@@ -14,11 +14,11 @@ sets is at least ``percent`` (51 to 100); the result is each document's connecte
    compared with each member, in ``rounds`` rounds: what is within the threshold of the
    centre leaves the list. What is left of the lists is paired under the size bound and a
    count of shared values, unless the links found so far connect it already.
-4. A member that left is still owed its links to those that stayed and that nothing connects with
-   the centre. Those lie within twice the distance of the centre, and by how far symmetric
-   differences to the centre must overlap, they share one of the rarest half of its differences;
-   an index of differences finds them, so a large family of near copies costs its edits, not
-   its square.
+4. Members of one centre that nothing connects yet are still owed their links to one another. Those
+   beyond the threshold of the centre lie within twice its distance, and by how far symmetric
+   differences to the centre must overlap, they share one of the rarest half of the other's
+   differences; an index of differences finds them, so a large family of near copies costs its
+   edits, not its square.
 5. The estimate from the union of two sketches discards hopeless pairs before texts are
    fetched; every link is confirmed on full sets.
 
@@ -180,33 +180,38 @@ def linked(percent: int) -> Column:
     return 100 * F.col("inter") >= percent * (F.col("nx") + F.col("ny") - F.col("inter"))
 
 
+def both_orders(seen: DataFrame) -> DataFrame:
+    """Compared pairs with their differences; a pair is in ``seen`` in one order only, and either end may be a centre."""
+    seen = seen.where(F.col("diff").isNotNull())
+    return seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "inter", F.col("ny").alias("nx"), F.col("nx").alias("ny"), "diff"))
+
+
 def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = None) -> DataFrame:
-    """Links between members near a centre and members at its fringe that ``joined`` (id, component) does not
-    connect with it. With d the symmetric
-    difference and s the sum of sizes, similarity p/100 means d * (100 + p) <= s * (100 - p);
+    """Links of members at the fringe of a centre to any other of its members, but for pairs that ``joined``
+    (id, component) connects already. With d
+    the symmetric difference and s the sum of sizes, similarity p/100 means d * (100 + p) <= s * (100 - p);
     d(a, b) = |a'| + |b'| - 2 |a' n b'| for differences a', b' to the centre, and |b'| alone
     exceeds (|b| + |c|) * (100 - p) / (100 + p) for the centre c, so a' n b' holds more than half
-    of |a'| - (|a| - |c|) * (100 - p) / (100 + p). A pair is in ``seen`` in one
-    order only, and either end may be the centre of a later list, so both orders count."""
-    seen = seen.where(F.col("diff").isNotNull())
-    seen = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "inter", F.col("ny").alias("nx"), F.col("nx").alias("ny"), "diff"))
-    near = seen.where(linked(percent)).select("y", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("ny").alias("nc"), F.col("diff").alias("da"))
-    fringe = seen.where(~linked(percent)).select("y", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("diff").alias("db"))
+    of |a'| - (|a| - |c|) * (100 - p) / (100 + p)."""
+    seen = both_orders(seen)
     if joined is not None:
-        fringe = fringe.join(joined.toDF("y", "_cy"), "y", "left").join(joined.toDF("b", "_cb"), "b", "left")
-        fringe = materialize(fringe.where(F.coalesce("_cy", "y") != F.coalesce("_cb", "b")).select("y", "b", "nb", "db"), "fringe")
-    fringe = fringe.join(near.select("y").distinct(), "y", "left_semi")
-    entries = fringe.select("y", "b", F.explode("db").alias("e"))
+        seen = seen.join(joined.toDF("y", "_cy"), "y", "left").join(joined.toDF("x", "_cx"), "x", "left")
+        seen = materialize(seen.withColumns({"_cy": F.coalesce("_cy", "y"), "_cx": F.coalesce("_cx", "x")}), "members")
+    else:
+        seen = seen.withColumns({"_cy": F.col("y"), "_cx": F.when(linked(percent), F.col("y")).otherwise(F.col("x"))})
+    members = seen.select("y", F.col("x").alias("a"), F.col("_cx").alias("ca"), F.col("nx").alias("na"), F.col("ny").alias("nc"), F.col("diff").alias("da"))
+    fringe = seen.where(~linked(percent) & (F.col("_cx") != F.col("_cy"))).select("y", F.col("x").alias("b"), F.col("_cx").alias("cb"), F.col("nx").alias("nb"), F.col("diff").alias("db"))
+    entries = fringe.select("y", "b", "cb", F.explode("db").alias("e"))
     heavy = entries.groupBy("y", "e").agg(F.count("*").alias("df"))
-    own = near.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "a", "na", "nc", F.size("da").alias("size"), F.explode("da").alias("e"))
-    found = own.join(heavy, ["y", "e"]).groupBy("y", "a", "na", "nc", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    own = members.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "a", "ca", "na", "nc", F.size("da").alias("size"), F.explode("da").alias("e"))
+    found = own.join(heavy, ["y", "e"]).groupBy("y", "a", "ca", "na", "nc", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
     free = F.col("size") - F.size("es")  # differences that no fringe member has come first
     # differences that b' may lack, doubled: |a'|, and more if a is larger than the centre
     lacking = F.col("size") * (100 + percent) + F.greatest(F.lit(0), F.col("na") - F.col("nc")) * (100 - percent)
     take = F.greatest(F.lit(0), F.floor(lacking / (2 * (100 + percent))) + 1 - free).cast("int")
-    keys = found.select("y", "a", F.explode(F.transform(F.slice("es", 1, take), lambda s: s["e"])).alias("e"))
-    pairs = keys.join(entries, ["y", "e"]).where("a <> b").select("y", "a", "b").distinct()
-    full = pairs.join(near, ["y", "a"]).join(fringe, ["y", "b"])
+    keys = found.select("y", "a", "ca", F.explode(F.transform(F.slice("es", 1, take), lambda s: s["e"])).alias("e"))
+    pairs = keys.join(entries, ["y", "e"]).where("a <> b and ca <> cb").select("y", "a", "b").distinct()
+    full = pairs.join(members, ["y", "a"]).join(fringe, ["y", "b"])
     d = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     return full.where(d * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select(F.col("a").alias("x"), F.col("b").alias("y"))
 
@@ -236,18 +241,22 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int
         lists = release(materialize(members.join(gone, ["rep", "c"], "left_anti").select(*lists.columns), "lists"), lists)
     ball = materialize(seen.where(linked(percent)).select("x", "y"), "ball")
     joined = materialize(components(ball), "joined")
-    # of what is left, each pair that nothing connects yet, once: in the list of the least value that both are listed under
+    # of what is left, each pair that nothing connects yet, once: in the list of the least value that both are listed under;
+    # members of one centre are left to the index of differences
     own = heads.select("rep", "home", F.transform("vs", low).alias("keys"))
     left = lists.join(several(lists), "v").select("v", "rep", "n", "home")
-    left = release(materialize(left.join(joined.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "left"), lists)
+    left_rows = left = release(materialize(left.join(joined.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "left"), lists)
     ids = left.select("rep").distinct()
+    centres = sent(ids, "rep", both_orders(seen).select(F.col("x").alias("rep"), "y")).groupBy("rep").agg(F.collect_set("y").alias("of"))
     short = sent(ids, "rep", classes.select("rep", F.transform("sketch", low).alias("short")))
-    left = release(materialize(left.join(own, ["rep", "home"]).join(short, "rep"), "leftover"), left)
+    left = left.join(own, ["rep", "home"]).join(short, "rep").join(centres, "rep", "left")
+    left = left.withColumn("of", F.array_union(F.coalesce("of", F.array().cast("array<bigint>")), F.array("rep")))
+    left = release(materialize(left, "leftover"), left_rows)
     a, b = (left.select("v", *[F.col(c).alias(f"{c}_{side}") for c in left.columns if c != "v"]) for side in "ab")
     sized = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
     once = (F.col("home_a") + F.col("home_b") > 0) & (F.array_min(F.array_intersect("keys_a", "keys_b")) == low(a["v"]))
     enough = F.size(F.array_intersect("short_a", "short_b")) >= F.ceil(F.least("n_a", "n_b", F.lit(SKETCH)) * shared_values(percent) / SKETCH)
-    rest = a.join(b, (a["v"] == b["v"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & sized & once & enough)
+    rest = a.join(b, (a["v"] == b["v"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & sized & once & enough & ~F.arrays_overlap("of_a", "of_b"))
     rest = rest.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).distinct()
     known = seen.select("x", "y")
     rest = rest.join(known, ["x", "y"], "left_anti").join(known.toDF("y", "x"), ["x", "y"], "left_anti")

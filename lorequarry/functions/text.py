@@ -30,18 +30,24 @@ def leak_pattern(name: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in vocab.LEAK_PATTERNS])
 
 
-def is_proper_name(name: Column) -> Column:
-    """Looks like a named entity. Null counts as blank."""
-    text = strip(F.coalesce(name, F.lit("")))
-    low, n = F.lower(text), F.size(words(text))
-    first = F.left(text, F.lit(1))
-    clause = F.lit(False)
+def is_proper(stripped: Column, low: Column, n: Column) -> Column:
+    """Looks like a named entity, from a stripped name, it lower-cased, and its number of words."""
+    first = F.left(stripped, F.lit(1))
+    clause, leak = F.lit(False), F.lit(False)
     for m in vocab.CLAUSE_MARKERS:
         clause = clause | F.contains(low, F.lit(m))
-    bad = (text == "") | leak_pattern(text).isNotNull() | ((n == 1) & (first == F.lower(first)) & (first != F.upper(first))) | (text == low) | (clause & (n > vocab.CLAUSE_WORDS)) | (n > vocab.MOST_WORDS)
+    for p in vocab.LEAK_PATTERNS:
+        leak = leak | F.contains(low, F.lit(p))
+    bad = (stripped == "") | leak | ((n == 1) & (first == F.lower(first)) & (first != F.upper(first))) | (stripped == low) | (clause & (n > vocab.CLAUSE_WORDS)) | (n > vocab.MOST_WORDS)
     return ~bad
 
 
+def is_proper_name(name: Column) -> Column:
+    """Looks like a named entity. Null counts as blank."""
+    text = strip(F.coalesce(name, F.lit("")))
+    return is_proper(text, F.lower(text), F.size(words(text)))
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
     """Similarity from 0 to 100 by insertions and deletions, rounded half to even:
     200 * (longest common subsequence) / (both lengths). One row of the dynamic programme

@@ -36,7 +36,7 @@ def _cite(evidence: Column, r: Column) -> Column:
 
 def rule_lines(relations: Column, evidence: Column) -> Column:
     def line(r: Column) -> Column:
-        return F.concat(F.lit("- "), r["source_entity"], F.lit(" --"), text.relation_label(r["relation_type"]), F.lit("--> "), r["target_entity"], F.lit(" "), _cite(evidence, r), F.when(r["source_reliability"] == "low", " (low reliability)").otherwise(""))
+        return F.concat(F.lit("- "), r["source_entity"], F.lit(" --"), text.relation_label(r["relation_type"]), F.lit("--> "), r["target_entity"], F.lit(" "), _cite(evidence, r), F.when(evidence_by_id(evidence, r["source_chunk_id"])["source_reliability"] == "low", " (low reliability)").otherwise(""))
 
     return F.transform(F.slice(relations, 1, MOST), line)
 

@@ -12,18 +12,24 @@ def _at(i: Column, kind: str, rest) -> Column:
     return F.concat(F.lit(f"{kind} "), i.cast("string"), F.lit(" "), rest if isinstance(rest, Column) else F.lit(rest))
 
 
+def _measured(elements: Column, name: str, fields: list[str], stripped: dict[str, str]) -> Column:
+    """Elements with names stripped, and the one that must be proper lower-cased and its words counted, each once."""
+    cut = F.transform(elements, lambda x: F.struct(*[x[f].alias(f) for f in fields], *[text.strip(F.coalesce(x[f], F.lit(""))).alias(to) for f, to in stripped.items()]))
+    keep = [*fields, *stripped.values()]
+    return F.transform(cut, lambda x: F.struct(*[x[f].alias(f) for f in keep], F.lower(x[name]).alias("low"), F.size(text.words(x[name])).alias("n")))
+
+
 def entity_error(e: Column, i: Column) -> Column:
-    name = text.strip(e["name"])
     return (
         F.when(e["name"].isNull(), _at(i, "Entity", "missing 'name'"))
         .when(e["entity_type"].isNull(), _at(i, "Entity", "missing 'entity_type'"))
         .when(~e["entity_type"].isin(*vocab.ENTITY_TYPES), _at(i, "Entity", F.concat(F.lit("has invalid entity_type: "), e["entity_type"])))
-        .when(~text.is_proper_name(name), _at(i, "Entity", F.concat(F.lit("name '"), name, F.lit("' is not a proper name"))))
+        .when(~text.is_proper(e["own"], e["low"], e["n"]), _at(i, "Entity", F.concat(F.lit("name '"), e["own"], F.lit("' is not a proper name"))))
     )
 
 
 def relation_error(r: Column, i: Column, known: Column) -> Column:
-    source, target, value = text.strip(r["source_entity"]), text.strip(F.coalesce(r["target_entity"], F.lit(""))), text.strip(F.coalesce(r["property_value"], F.lit("")))
+    source, target, value = r["source"], r["target"], r["value"]
     out = F.when(F.lit(False), F.lit(""))
     for field in ("source_entity", "relation_type", "negated", "confidence", "justification"):
         out = out.when(r[field].isNull(), _at(i, "Relation", f"missing '{field}'"))
@@ -35,8 +41,8 @@ def relation_error(r: Column, i: Column, known: Column) -> Column:
         .when(prop & (value == ""), _at(i, "Relation", "is has_property without 'property_value'"))
         .when(prop & (target != ""), _at(i, "Relation", F.concat(F.lit("is has_property but target_entity is '"), target, F.lit("'"))))
         .when(~prop & (target == ""), _at(i, "Relation", F.concat(F.lit("("), r["relation_type"], F.lit(") has empty 'target_entity'"))))
-        .when(~prop & ~text.is_proper_name(target), _at(i, "Relation", F.concat(F.lit("target_entity '"), target, F.lit("' is not a proper name"))))
-        .when(~prop & ~F.array_contains(known, F.lower(target)), _at(i, "Relation", F.concat(F.lit("target_entity '"), target, F.lit("' is not defined"))))
+        .when(~prop & ~text.is_proper(target, r["low"], r["n"]), _at(i, "Relation", F.concat(F.lit("target_entity '"), target, F.lit("' is not a proper name"))))
+        .when(~prop & ~F.array_contains(known, r["low"]), _at(i, "Relation", F.concat(F.lit("target_entity '"), target, F.lit("' is not defined"))))
     )
 
 
@@ -45,13 +51,16 @@ def with_error(extractions: DataFrame) -> DataFrame:
     compared lower-cased; a name is stripped, an alias is not."""
     e, r = F.col("entities"), F.col("relations")
     known = F.array_union(F.transform(e, lambda x: F.lower(text.strip(x["name"]))), F.flatten(F.transform(e, lambda x: F.transform(F.coalesce(x["aliases"], F.array().cast("array<string>")), F.lower))))
+    entities = _measured(e, "own", ["name", "entity_type"], {"name": "own"})
+    needed = ["source_entity", "relation_type", "negated", "confidence", "justification"]
+    relations = _measured(r, "target", needed, {"source_entity": "source", "target_entity": "target", "property_value": "value"})
     out = extractions.withColumn("_known", known)
     first = lambda errors: F.get(F.filter(errors, lambda x: x.isNotNull()), F.lit(0))
     error = F.coalesce(
         F.when(e.isNull(), F.lit("Missing 'entities' key")),
         F.when(r.isNull(), F.lit("Missing 'relations' key")),
-        first(F.transform(e, entity_error)),
-        first(F.transform(r, lambda x, i: relation_error(x, i, F.col("_known")))),
+        first(F.transform(entities, entity_error)),
+        first(F.transform(relations, lambda x, i: relation_error(x, i, F.col("_known")))),
     )
     return out.withColumn("error", error).drop("_known")
 

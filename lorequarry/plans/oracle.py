@@ -138,7 +138,7 @@ SELECT qid, k2 AS rank, chunk AS chunk_id, doc AS doc_id, s || ' ' || replace(r,
 WITH {PLACES}, touched AS (SELECT r_regionkey::BIGINT AS qid, edges.* FROM region JOIN edges ON r_name = t OR r_name = s
 ), kept AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {RANK}, confidence DESC, s, r, t, doc, chunk) AS k FROM touched
 ), ev AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {RANK}, chunk) AS e FROM kept WHERE k <= 40
-), lines AS (SELECT qid, string_agg('- ' || s || ' --' || replace(r, '_', ' ') || '--> ' || t || ' ' || CASE WHEN e <= 10 THEN '[' || doc || ', ' || chunk || ']' ELSE '[?, ' || chunk || ']' END || CASE WHEN rel = 'low' THEN ' (low reliability)' ELSE '' END, chr(10) ORDER BY k) AS body,
+), lines AS (SELECT qid, string_agg('- ' || s || ' --' || replace(r, '_', ' ') || '--> ' || t || ' ' || CASE WHEN e <= 10 THEN '[' || doc || ', ' || chunk || ']' ELSE '[?, ' || chunk || ']' END || CASE WHEN e <= 10 AND rel = 'low' THEN ' (low reliability)' ELSE '' END, chr(10) ORDER BY k) AS body,
     string_agg(chunk, ',' ORDER BY k) FILTER (e <= 10) AS used FROM ev WHERE k <= 5 GROUP BY qid)
 SELECT qid, 'What belongs to ' || r_name || '?' AS question, 'The available document evidence shows the following connections:' || chr(10) || body AS answer, used AS used_chunk_ids, true AS grounded, true AS fallback_used
 FROM lines JOIN region ON qid = r_regionkey"""

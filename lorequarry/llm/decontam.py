@@ -7,27 +7,32 @@ extended: the window's two 64-bit hashes are compared with those of the benchmar
 Benchmark items of fewer words than ``WINDOW`` are one window each (fingerprint and window
 are then the same hash).
 
-The benchmark goes to the workers in blocks of at most ``block_windows`` windows (about 40
-bytes each), one pass over the batch for each block in the same stage; documents are never
-shuffled, whatever passage they share.
+Up to ``block_windows`` windows (about 40 bytes each) the benchmark is sent whole and looked up
+where the documents lie. A larger one is cut into blocks of about that many windows, by item
+and window: each block is joined with the documents in a pass of its own, which writes the hits
+of each text under the text's SHA-256; a worker never holds more than one block. The hits of all
+blocks are then united by text. Either way gives the same result, and in the first documents are
+never shuffled, whatever passage they share.
 
 Defined results: null or empty texts have no words and no hits, and an empty item fits
-nowhere; items with a null id are ignored; repeated items count once; an empty benchmark
-leaves all documents clean; other input columns are kept by ``mark`` unless they bear the
-name of one that it adds.
+nowhere; item ids are cast to long, items with a null id are ignored; repeated items count once;
+an empty benchmark leaves all documents clean; other input columns are kept by ``mark`` unless
+they bear the name of one that it adds (n_words, hit_spans, items), and all are by ``clean``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, release
 from .words import ROWS, WordHashes, ascii_word_table, grams, mix, slices
 
 WINDOW, GRAM = 10, 5
@@ -82,7 +87,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 class Index:
-    """Windows of a block of the benchmark, ready for lookups."""
+    """Windows of a block of the benchmark, ready for lookups; at most 40 MB beside the block's own."""
 
     def __init__(self, item: np.ndarray, length: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray):
         self.by_length = {}
@@ -143,20 +148,25 @@ def look_up(text: bytes | None, indexes: list[Index], cache: WordHashes) -> dict
     return {"n_words": len(h), "hit_spans": spans, "items": np.unique(np.concatenate(own)).tolist()}
 
 
-def marker(items: DataFrame, block_windows: int = BLOCK, id_col: str = "item_id", text_col: str = "text"):
+def _blocks(items: DataFrame, block_windows: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    found = materialize(benchmark_windows(items, id_col, text_col), "benchmark-windows")
+    return found, max(1, -(-found.count() // block_windows))
+
+
+def _send(found: DataFrame, blocks: int, i: int) -> Broadcast:
+    """The windows of block i, which number about ``block_windows``."""
+    t = (found if blocks == 1 else found.where(F.pmod(F.xxhash64("item_id", "a"), F.lit(blocks)) == i)).toArrow()
+    cols = [t[c].to_numpy() for c in ("item_id", "length", "f", "a", "b")]
+    return found.sparkSession.sparkContext.broadcast([*cols[:2], *[c.astype(np.int64).view(np.uint64) for c in cols[2:]]])
+
+
+def _marker(block: Broadcast):
     """A column function: text (binary) -> struct of n_words, hit_spans (array of [start, end)
     in words, disjoint, in order) and items (ids, sorted)."""
-    found = materialize(benchmark_windows(items, id_col, text_col), "benchmark-windows")
-    blocks = max(1, -(-found.count() // block_windows))
-    sent = []
-    for i in range(blocks):  # each of about block_windows windows
-        t = found.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toArrow()
-        cols = [t[c].to_numpy() for c in ("item_id", "length", "f", "a", "b")]
-        sent.append(items.sparkSession.sparkContext.broadcast([cols[0], cols[1], *[c.astype(np.int64).view(np.uint64) for c in cols[2:]]]))
 
     @F.arrow_udf(RESULT)
     def hits_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache, indexes = WordHashes(), [Index(*s.value) for s in sent]
+        cache, indexes = WordHashes(), [Index(*block.value)]
         for texts in batches:
             rows = [look_up(t, indexes, cache) for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()]
             yield pa.array(rows, ARROW)
@@ -164,11 +174,88 @@ def marker(items: DataFrame, block_windows: int = BLOCK, id_col: str = "item_id"
     return hits_of
 
 
+@F.arrow_udf(T.LongType())
+def _count_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([len((t or b"").translate(TABLE).split()) for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()], pa.int64())
+
+
+@F.arrow_udf(RESULT["hit_spans"].dataType)
+def _united(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Sorted spans to disjoint ones that don't touch."""
+    for rows in batches:
+        out = []
+        for spans in rows.to_pylist():
+            own = []
+            for s in spans:
+                if own and s["start"] <= own[-1]["end"]:
+                    own[-1]["end"] = max(own[-1]["end"], s["end"])
+                else:
+                    own.append(s)
+            out.append(own)
+        yield pa.array(out, ARROW.field("hit_spans").type)
+
+
+def _hits_in(texts: DataFrame, block: Broadcast) -> DataFrame:
+    """key, hit_spans, items of the texts that a block hits, equal texts once."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, indexes = WordHashes(), [Index(*block.value)]
+        schema = pa.schema([("key", pa.string()), *[(f.name, f.type) for f in ARROW][1:]])
+        for batch in slices(batches):
+            got = [look_up(t.as_py(), indexes, cache) | {"key": k.as_py()} for k, t in zip(batch["key"], batch["text"], strict=True)]
+            yield pa.RecordBatch.from_pylist([g for g in got if g["items"]], schema)
+
+    kind = T.StructType([T.StructField("key", T.StringType()), *RESULT.fields[1:]])
+    return texts.mapInArrow(find, kind).dropDuplicates(["key"])
+
+
+def _hits_by_text(docs: DataFrame, text: Column, found: DataFrame, blocks: int) -> DataFrame:
+    """key (SHA-256 of the text), hit_spans, items: a row for each text with a hit. A pass over the
+    texts for each block, which writes its hits before the next block is sent."""
+    texts = docs.select(F.sha2(text, 256).alias("key"), text.alias("text")).where("text is not null")
+    passes = []
+    for i in range(blocks):
+        block = _send(found, blocks, i)
+        passes.append(materialize(_hits_in(texts, block), "block-hits"))
+        block.unpersist()
+    every = reduce(DataFrame.unionByName, passes)  # a key has at most one row of each block
+    every = every.groupBy("key").agg(F.flatten(F.collect_list("hit_spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    out = every.select("key", _united(F.array_sort("spans")).alias("hit_spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    return release(materialize(out, "hits"), *passes, found)
+
+
 def mark(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, hit_spans and items, which replace any columns of these names."""
-    hits = marker(items, block_windows, item_id, item_text)
-    marked = docs.withColumn("_hits", hits(F.col(text_col).cast("binary")))
-    return marked.withColumns({c: F.col(f"_hits.{c}") for c in ("n_words", "hit_spans", "items")}).drop("_hits")
+    found, blocks = _blocks(items, block_windows, item_id, item_text)
+    text = F.col(text_col).cast("binary")
+    hits = "_hits"
+    while hits in {c.lower() for c in docs.columns}:
+        hits += "_"
+    if blocks == 1:
+        marked = release(docs.withColumn(hits, _marker(_send(found, 1, 0))(text)), found)
+    else:
+        by_text = _hits_by_text(docs, text, found, blocks)
+        by_text = by_text.select(F.col("key").alias(f"{hits}key"), F.struct("hit_spans", "items").alias(f"{hits}found"))
+        joined = docs.withColumn(f"{hits}n", _count_words(text)).join(by_text, F.sha2(text, 256) == F.col(f"{hits}key"), "left")
+        of = lambda c: F.coalesce(F.col(f"{hits}found.{c}"), F.array().cast(RESULT[c].dataType)).alias(c)
+        marked = joined.withColumn(hits, F.struct(F.col(f"{hits}n").alias("n_words"), of("hit_spans"), of("items"))).drop(f"{hits}n", f"{hits}key", f"{hits}found")
+    return marked.withColumns({c: F.col(f"{hits}.{c}") for c in ("n_words", "hit_spans", "items")}).drop(hits)
+
+
+def clean(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that nothing of the benchmark hits, with all their columns."""
+    found, blocks = _blocks(items, block_windows, item_id, item_text)
+    text = F.col(text_col).cast("binary")
+    if blocks == 1:
+        return release(docs.where(F.size(_marker(_send(found, 1, 0))(text)["items"]) == 0), found)
+    keys = _hits_by_text(docs, text, found, blocks).select("key")
+    return docs.join(keys, F.sha2(text, 256) == keys["key"], "left_anti")
+
+
+def marker(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
+    found, _ = _blocks(items, BLOCK, id_col, text_col)
+    return _marker(_send(found, 1, 0))
 
 
 def n_hit(spans: Column) -> Column:

@@ -200,6 +200,23 @@ def test_decontamination(spark, block):
                     hit |= set(range(i, i + n))
         assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(found)), r["doc_id"]
     assert decontam.mark(docs(spark, data), table.limit(0)).where("size(items) > 0").count() == 0
+    own = docs(spark, data).select("doc_id", "text", "n").withColumns({"_hits": F.lit("mine"), "key": F.lit("mine")})
+    pure = decontam.clean(own, table, block)
+    assert pure.columns == own.columns
+    count = lambda ids: sorted((i is None, i or 0) for i in ids)
+    assert count(r["doc_id"] for r in pure.collect()) == count(r["doc_id"] for r in got if not r["items"])
+    assert {r["_hits"] for r in decontam.mark(own, table, block).collect()} == {"mine"}
+
+
+def test_decontamination_blocks_agree(spark):
+    """Spans that several blocks hit are united as one block finds them; copies and empty tables come through."""
+    items, data = items_and_docs()
+    table = spark.createDataFrame(items, "item_id long, text string")
+    data += [(500 + i, data[-1][1]) for i in range(5)] + [(None, None), (510, "single " * 30 + prose(900, 40) + " " + prose(901, 12))]
+    rows_of = lambda block: sorted(map(str, decontam.mark(docs(spark, data).select("doc_id", "text"), table, block).select("doc_id", "n_words", "hit_spans", "items").collect()))
+    assert rows_of(9) == rows_of(1_000_000)
+    assert decontam.mark(docs(spark, data).limit(0), table, 20).count() == 0
+    assert decontam.clean(docs(spark, data).limit(0), table, 20).count() == 0
 
 
 def test_winnowing_guarantee():

@@ -253,10 +253,5 @@ def clean(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK, text_co
     return docs.join(keys, F.sha2(text, 256) == keys["key"], "left_anti")
 
 
-def marker(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    found, _ = _blocks(items, BLOCK, id_col, text_col)
-    return _marker(_send(found, 1, 0))
-
-
 def n_hit(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

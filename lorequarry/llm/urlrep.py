@@ -16,10 +16,12 @@ repeated rows each get their row; other input columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize
 
 #: (host, path, verdict); a bounded list that is part of the plan.
 RULES = (
@@ -31,6 +33,7 @@ RULES = (
 )
 STRONGEST = 1000.0
 WEAKEST = 1.0
+SUMS = ("n", "y", "yy", "nn", "groups")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -62,7 +65,8 @@ def suffix_of(host: Column) -> Column:
 def _spread(level: DataFrame) -> list[Column]:
     """Sums for the weight of a level's prior; all are sums of small counts."""
     n, y = F.col("n").cast("double"), F.col("bad").cast("double")
-    return [F.sum(n), F.sum(y), F.sum(F.when(n > 0, y * y / n)), F.sum(n * n), F.count(F.when(n > 0, 1))]
+    sums = F.sum(n), F.sum(y), F.sum(F.when(n > 0, y * y / n)), F.sum(n * n), F.count(F.when(n > 0, 1))
+    return [c.alias(name) for c, name in zip(sums, SUMS, strict=True)]
 
 
 def prior_weight(n: float, bad: float, sum_y2_n: float, sum_n2: float, groups: int) -> float:
@@ -79,13 +83,18 @@ def prior_weight(n: float, bad: float, sum_y2_n: float, sum_n2: float, groups: i
 
 def reputation(outcomes: DataFrame, z: float = 1.645, threshold: float = 0.5) -> DataFrame:
     """outcomes: host, bad (1, 0, or null if unlabelled), a row per page. Returns a row per
-    host: host, n, bad, rate (posterior mean), bound (lower), refused."""
+    host: host, n, bad, rate (posterior mean), bound (lower), refused.
+
+    Pages are counted once, into a written table of hosts (a hot host is one row of each task before
+    the exchange); the other levels are made from it, and one job gives the spreads of all three."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+    hosts = materialize(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    weights = [prior_weight(*[x or 0 for x in level.agg(*_spread(level)).first()]) for level in (hosts, domains, suffixes)]
-    n, bad = [x or 0 for x in suffixes.agg(F.sum("n"), F.sum("bad")).first()]
+    sums = [level.agg(*_spread(level)).select(F.lit(i).alias("level"), F.array([F.col(c).cast("double") for c in SUMS]).alias("sums")) for i, level in enumerate((hosts, domains, suffixes))]
+    by_level = [[x or 0.0 for x in r["sums"]] for r in sorted(reduce(DataFrame.unionByName, sums).collect())]  # three rows
+    weights = [prior_weight(*sums) for sums in by_level]
+    n, bad = by_level[-1][:2]
     base = (bad + 0.5) / (n + 1.0) if n else 0.0
     w_host, w_domain, w_suffix = weights
     suffixes = suffixes.select("suffix", ((F.col("bad") + w_suffix * base) / (F.col("n") + w_suffix)).alias("suffix_rate"))
@@ -105,4 +114,5 @@ def filter_urls(pages: DataFrame, rules=RULES, z: float = 1.645, threshold: floa
     labelled = judged.select("host", F.when(F.col("hit").isNotNull(), (F.col("hit.verdict") == "block").cast("int")).alias("bad"))
     hosts = reputation(labelled, z, threshold).select("host", "rate", "bound", "refused")
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("refused"), "block").otherwise("allow"))
+    # hosts are sent while Spark's own size limit allows it; beyond it a hot host is split by the adaptive join
     return judged.join(hosts, "host", "left").select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "rate", "bound")

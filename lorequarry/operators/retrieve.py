@@ -85,6 +85,9 @@ def evidence_of(edges: DataFrame, chunks: DataFrame, max_evidence: int = 10) ->
 def conflicts_of(kept: DataFrame, edges: DataFrame) -> DataFrame:
     """Kept edges that belong to a negation conflict or to contradictory types."""
     pair = ["owner", "source", "target"]
+    # only edges between the pairs of kept ones can clash with them
+    asked = kept.select("source_entity", text.norm(F.col("target_entity")).alias("_t")).distinct()
+    edges = edges.withColumn("_t", text.norm(F.col("target_entity"))).join(asked, ["source_entity", "_t"], "left_semi").drop("_t")
     own = kept.withColumn("owner", F.col("source_entity")).withColumns({"source": text.norm(F.col("source_entity")), "target": text.norm(F.col("target_entity"))})
     negation = R.negation_conflicts(edges).select(*pair, "relation_type")
     types = R.contradictory_types(edges).select(*pair, F.explode(F.split("types", ", ")).alias("relation_type"))

@@ -142,4 +142,33 @@ WITH {PLACES}, touched AS (SELECT r_regionkey::BIGINT AS qid, edges.* FROM regio
     string_agg(chunk, ',' ORDER BY k) FILTER (e <= 10) AS used FROM ev WHERE k <= 5 GROUP BY qid)
 SELECT qid, 'What belongs to ' || r_name || '?' AS question, 'The available document evidence shows the following connections:' || chr(10) || body AS answer, used AS used_chunk_ids, true AS grounded, true AS fallback_used
 FROM lines JOIN region ON qid = r_regionkey"""
+    turned = ", ".join(f"('{a}', '{b}')" for a, b in vocab.INVERSES.items())
+    out["q_inverse_edges"] = f"""
+WITH {RES}, inv(r, i) AS (VALUES {turned})
+SELECT ord, source_entity, relation_type, target_entity, negated, false AS derived FROM edges
+UNION ALL SELECT ord, target_entity, i, source_entity, negated, true FROM edges JOIN inv ON relation_type = r"""
+    clash = f"""{RES}, sets AS (SELECT unnest([{sets}]) AS types
+), keyed AS (SELECT *, lower(trim(target_entity)) AS tn FROM edges
+), negs AS (SELECT source_entity, tn, relation_type FROM keyed GROUP BY ALL HAVING bool_or(negated) AND bool_or(NOT negated)
+), excl AS (SELECT source_entity, tn, types FROM keyed JOIN sets ON list_contains(types, relation_type) WHERE NOT negated GROUP BY ALL HAVING count(DISTINCT relation_type) > 1
+), clash AS (SELECT * FROM negs UNION SELECT source_entity, tn, unnest(types) FROM excl
+), kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_entity ORDER BY ord) AS k FROM keyed) WHERE k <= 40
+), con AS (SELECT *, row_number() OVER (PARTITION BY source_entity ORDER BY k) AS c FROM kept SEMI JOIN clash USING (source_entity, tn, relation_type))"""
+    out["q_kept_conflicts"] = f"WITH {clash} SELECT source_entity AS qid, ord, relation_type, target_entity, negated FROM con"
+    line = "source_entity || ' --' || replace(relation_type, '_', ' ') || '--> ' || target_entity || ' ' || CASE WHEN e IS NULL THEN '[?, ' || source_chunk_id || ']' WHEN ord % 2 = 0 THEN '[' || source_doc_id || ', p. ' || ord % 7 || ']' ELSE '[' || source_doc_id || ', ' || source_chunk_id || ']' END"
+    out["q_disputed_answer"] = f"""
+WITH {clash}, ev AS (
+  SELECT * FROM (SELECT source_entity, ord, row_number() OVER (PARTITION BY source_entity ORDER BY {RANK.replace("rel", "source_reliability")}, source_chunk_id) AS e
+    FROM kept WHERE ord % 3 <> 0 AND source_entity NOT LIKE '%7') WHERE e <= 10
+), shown AS (SELECT kept.*, 0 AS part, k AS place, e FROM kept LEFT JOIN ev USING (source_entity, ord) WHERE k <= 5
+  UNION ALL SELECT con.* EXCLUDE (c), 1, c, e FROM con LEFT JOIN ev USING (source_entity, ord) WHERE c <= 5
+), lines AS (SELECT source_entity,
+    string_agg('- ' || {line} || CASE WHEN e IS NOT NULL AND source_reliability = 'low' THEN ' (low reliability)' ELSE '' END, chr(10) ORDER BY place) FILTER (part = 0) AS facts,
+    string_agg('- (Disputed) ' || {line}, chr(10) ORDER BY place) FILTER (part = 1) AS disputes FROM shown GROUP BY 1
+), cited AS (SELECT source_entity, ord, any_value(source_chunk_id) AS chunk, any_value(source_doc_id || '/' || source_reliability || CASE WHEN ord % 2 = 0 THEN '/' || ord % 7 ELSE '' END) AS place_, min(part * 100 + place) AS first_ FROM shown WHERE e IS NOT NULL GROUP BY 1, 2
+), used AS (SELECT source_entity, string_agg(chunk, ',' ORDER BY first_) AS ids, string_agg(chunk || '/' || place_, ',' ORDER BY first_) AS places FROM cited GROUP BY 1)
+SELECT source_entity AS qid, CASE WHEN source_entity NOT IN (SELECT source_entity FROM ev) THEN 'I cannot answer this question because the available evidence does not contain relevant information.'
+    ELSE 'The available document evidence shows the following connections:' || chr(10) || facts || coalesce(chr(10) || chr(10) || 'Disputed Findings:' || chr(10) || disputes, '') END AS answer,
+  coalesce(ids, '') AS used_chunk_ids, coalesce(places, '') AS citations, ids IS NOT NULL AS grounded
+FROM lines LEFT JOIN used USING (source_entity)"""
     return out

@@ -209,11 +209,45 @@ def q_fallback_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", "question", "answer", F.array_join("used_chunk_ids", ",").alias("used_chunk_ids"), "grounded", "fallback_used")
 
 
+def q_inverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.inverse_edges(event_edges(spark, sf_dir)).select("ord", "source_entity", "relation_type", "target_entity", "negated", "derived")
+
+
+def kept_events(edges: DataFrame) -> DataFrame:
+    """A question for each source entity, which keeps its first edges."""
+    return retrieve.top(edges.withColumn("qid", F.col("source_entity")), ["ord"], 40)
+
+
+def q_kept_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = materialize(event_edges(spark, sf_dir), "edges")
+    return retrieve.conflicts_of(kept_events(edges), edges).select("qid", "ord", "relation_type", "target_entity", "negated")
+
+
+def q_disputed_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by rule with disputed findings, relations whose evidence is beyond the cap or lacks, and questions without any."""
+    edges = materialize(event_edges(spark, sf_dir), "edges")
+    kept = materialize(kept_events(edges).withColumn("hop", F.lit(1)), "kept")
+    chunks = edges.where("ord % 3 <> 0 and source_entity not like '%7'").select(
+        F.col("source_chunk_id").alias("chunk_id"), F.col("source_doc_id").alias("doc_id"), F.when(F.col("ord") % 2 == 0, F.col("ord") % 7).cast("int").alias("page_number"), "source_reliability", F.lit(None).cast("string").alias("source_path"), F.lit("").alias("chunk_text"))
+    evidence = retrieve.evidence_of(kept, chunks, 10)
+    fields = ["source_entity", "relation_type", "target_entity", "source_chunk_id"]
+    cited = ["chunk_id", "doc_id", "page_number", "source_reliability", "source_path"]
+    listed = lambda rows, fields, name: rows.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("row")))), lambda s: s["row"]).alias(name))
+    found = listed(kept, fields, "relations")
+    for rows, of, name in ((retrieve.conflicts_of(kept, edges), fields, "conflicts"), (evidence, cited, "evidence")):
+        found = found.join(listed(rows, of, name), "qid", "left")
+        found = found.withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType)))
+    out = answer.by_rule(found.withColumn("warnings", F.array().cast("array<string>")))
+    places = F.transform("citations", lambda c: F.concat_ws("/", c["chunk_id"], c["doc_id"], c["source_reliability"], c["page_number"].cast("string")))
+    return out.select("qid", "answer", F.array_join("used_chunk_ids", ",").alias("used_chunk_ids"), F.array_join(places, ",").alias("citations"), "grounded")
+
+
 QUERIES = (
     q_doc_metadata, q_norm_names, q_proper_name, q_chunk_windows, q_valid_extractions, q_validate_extractions, q_stratified_sample, q_indel_pairs,
     q_entity_resolution, q_review_queue, q_resolve_relations, q_stub_entities, q_properties, q_dedup_relations, q_negation_conflicts, q_contradictory_types,
     q_relation_type_counts, q_entity_type_counts, q_graph_stats, q_note_rollup, q_property_rollup, q_first_mentions, q_notes, q_name_audit, q_pending_chunks,
     q_display_text, q_seed_link, q_multi_hop, q_evidence_topk, q_fallback_answer,
+    q_inverse_edges, q_kept_conflicts, q_disputed_answer,
 )
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path, materialize, release, remove, sent, table
 
-__all__ = ["ascii_lower", "fresh_path", "materialize", "release", "remove", "sent", "sql_strings", "table"]
+__all__ = ["ascii_lower", "fresh_path", "materialize", "release", "remove", "sent", "small_batches", "sql_strings", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +21,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """For tables written within: so many rows go to a Python worker at a time. A batch of the usual 10,000
+    whole texts costs a task some tens of megabytes in the worker and twice that outside the JVM's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
 def sql_strings(values) -> str:
     """An array literal of strings as SQL text: one parse instead of a call for each value."""

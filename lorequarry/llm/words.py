@@ -14,7 +14,7 @@ ROWS = 512  # rows that a worker holds in Python objects at a time
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; forgets all when it holds ``limit`` words."""
 
-    limit = 1 << 19
+    limit = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

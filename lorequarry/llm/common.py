@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +18,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """For tables written within: so many rows go to a Python worker at a time. A batch of the usual 10,000
-    whole texts costs a task some tens of megabytes in the worker and twice that outside the JVM's heap."""
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lower the session's Arrow batches to ``rows`` whole texts, unless they are smaller. A batch of the usual
+    10,000 costs every task some tens of megabytes in its Python worker and up to twice that outside the
+    JVM's heap, which is not given back. No result depends on it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
 
 
 def sql_strings(values) -> str:

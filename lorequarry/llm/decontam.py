@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release
+from .common import materialize, release, small_batches
 from .words import ROWS, WordHashes, ascii_word_table, grams, mix, slices
 
 WINDOW, GRAM = 10, 5
@@ -149,6 +149,7 @@ def look_up(text: bytes | None, indexes: list[Index], cache: WordHashes) -> dict
 
 
 def _blocks(items: DataFrame, block_windows: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    small_batches(items.sparkSession)
     found = materialize(benchmark_windows(items, id_col, text_col), "benchmark-windows")
     return found, max(1, -(-found.count() // block_windows))
 

@@ -172,8 +172,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least:
             yield pa.RecordBatch.from_arrays([batch["x"], batch["y"], pa.array(inter, pa.int64()), pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(diff, pa.list_(pa.int64()))], ["x", "y", "inter", "nx", "ny", "diff"])
 
     joined = near.join(texts.toDF("x", "tx"), "x").join(texts.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
-    with small_batches(docs.sparkSession):
-        out = materialize(joined.mapInArrow(confirm, "x long, y long, inter long, nx long, ny long, diff array<bigint>"), "verified")
+    out = materialize(joined.mapInArrow(confirm, "x long, y long, inter long, nx long, ny long, diff array<bigint>"), "verified")
     return release(out, near, texts)
 
 
@@ -268,8 +267,8 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
-    with small_batches(docs.sparkSession):
-        rows = materialize(sketches(docs, k), "sketches")
+    small_batches(docs.sparkSession)
+    rows = materialize(sketches(docs, k), "sketches")
     own = rows.where("n > 0 and doc_id is not null")
     groups = own.groupBy("ka", "kb", "n").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count("*").alias("members"))
     groups = materialize(groups.select("ka", "kb", "n", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("least"), "members"), "groups")

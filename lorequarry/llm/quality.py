@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import ROWS, slices
 
 MAX_ROWS = 20_000
@@ -147,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
             x = matrix(b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["_id"], b["y"], pa.array(list(x), pa.list_(pa.float64()))], ["_id", "y", "x"])
 
+    small_batches(docs.sparkSession)
     rows = sample(docs, labels, label, keep, max_rows).select("_id", "y", "text").mapInArrow(reduce, "_id long, y int, x array<double>").toPandas().sort_values("_id")
     d = len(features(b""))
     return fit(np.array(rows["x"].tolist()).reshape(-1, d), rows["y"].to_numpy(np.float64))
@@ -166,4 +168,5 @@ def scorer(model: Ranker):
 
 def score(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
     """docs with a column ``score``, which replaces any of that name."""
+    small_batches(docs.sparkSession)
     return docs.withColumn("score", scorer(model)(F.col(text_col).cast("binary")))

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .quality import sample
 from .words import WordHashes, mix
 
@@ -87,6 +88,14 @@ class Grams:
         self.count = np.concatenate([np.empty(0, np.int64), *[p[1] for p in parts]])
         self.start = np.cumsum(self.count) - self.count
 
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """(GRAM_SLOTS,): the weights of the words that hold each slot, 65,536 words at a time."""
+        out = np.zeros(GRAM_SLOTS)
+        for i in range(0, len(weight), 1 << 16):
+            n = self.count[i : i + (1 << 16)]
+            out += np.bincount(self.slots[self.start[i] :][: n.sum()], np.repeat(weight[i : i + (1 << 16)], n), GRAM_SLOTS)
+        return out
+
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(slots, counts) of the words at these places."""
         n = self.count[at]
@@ -248,7 +257,7 @@ def train_net(texts: list[bytes], y: np.ndarray, seed: int = 11) -> Net:
     every = np.concatenate(each)
     del each
     net.p["word"][:, 0] = log_odds(*[np.bincount(slots, seen[k], WORD_SLOTS) for k in (1, 0)], n1, n0)
-    net.p["gram"][:, 0] = log_odds(*[np.bincount(grams.slots, np.repeat(seen[k], grams.count), GRAM_SLOTS) for k in (1, 0)], n1, n0)
+    net.p["gram"][:, 0] = log_odds(*[grams.sums(seen[k]) for k in (1, 0)], n1, n0)
     first = {k: net.p[k].copy() for k in ("word", "gram")}
     draw = np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -259,8 +268,9 @@ def train_net(texts: list[bytes], y: np.ndarray, seed: int = 11) -> Net:
         return np.concatenate([net.p["word"][slots[at]], mean_of(net.p["gram"], *grams.take(at))], 1).astype(np.float32)
 
     def worst() -> tuple[np.ndarray, np.ndarray]:
-        parts = [net.project(inputs(np.arange(i, min(len(words), i + 4096)))) for i in range(0, len(words), 4096)]
-        g = np.concatenate([*parts, np.zeros((1, 2, 3 * HIDDEN), np.float32)])
+        g = np.zeros((len(words) + 1, 2, 3 * HIDDEN), np.float32)
+        for i in range(0, len(words), 4096):
+            g[i : i + 4096][: len(words) - i] = net.project(inputs(np.arange(i, min(len(words), i + 4096))))
         logits = np.concatenate([net.run(g, every[i : i + 4096]) for i in range(0, len(every), 4096)])
         top = np.maximum.reduceat(logits, starts)
         at = np.flatnonzero(logits >= top[owner])
@@ -375,6 +385,7 @@ def load(data: bytes) -> Net:
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Net:
     """``keep``: a condition on doc_id for the rows that may be learnt from. The sample's texts meet in one
     executor task, which a lost executor costs anew; only the net (two megabytes) comes to the driver."""
+    small_batches(docs.sparkSession)
     # clean rows are drawn less often than toxic ones, which the odds are put right for
     have = dict(labels.where(keep).groupBy(F.col(label).cast("int").alias("v")).count().collect())
     natural = have.get(1, 1) / max(1, have.get(0, 1))
@@ -408,4 +419,5 @@ def scorer(net: Net):
 
 def score(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
     """docs with a column ``score``, which replaces any of that name."""
+    small_batches(docs.sparkSession)
     return docs.withColumn("score", scorer(net)(F.col(text_col).cast("binary")))

@@ -186,13 +186,33 @@ def both_orders(seen: DataFrame) -> DataFrame:
     return seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "inter", F.col("ny").alias("nx"), F.col("nx").alias("ny"), "diff"))
 
 
+def difference_lists(members: DataFrame, fringe: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(y, a, ca, na, da_n, i, e: the rarest differences of each member, as many as any link to the fringe of its
+    centre needs; y, b, cb, nb, db_n, j, e: all of the fringe). i and j are places in the order from rare to common
+    (by how many of the centre's fringe have a difference, then by its hash) that all members of a centre share."""
+    flat = fringe.select("y", "b", "cb", "nb", F.size("db").alias("db_n"), F.explode("db").alias("e"))
+    heavy = flat.groupBy("y", "e").agg(F.count("*").alias("df"))
+    ordered = F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es")
+    entries = flat.join(heavy, ["y", "e"]).groupBy("y", "b", "cb", "nb", "db_n").agg(ordered)
+    entries = entries.select("y", "b", "cb", "nb", "db_n", F.posexplode("es").alias("j", "s")).select("y", "b", "cb", "nb", "db_n", "j", "s.e")
+    own = members.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "a", "ca", "na", "nc", F.size("da").alias("da_n"), F.explode("da").alias("e"))
+    found = own.join(heavy, ["y", "e"]).groupBy("y", "a", "ca", "na", "nc", "da_n").agg(ordered)
+    free = F.col("da_n") - F.size("es")  # differences that no fringe member has come first
+    # differences that b' may lack, doubled: |a'|, and more if a is larger than the centre
+    lacking = F.col("da_n") * (100 + percent) + F.greatest(F.lit(0), F.col("na") - F.col("nc")) * (100 - percent)
+    take = F.greatest(F.lit(0), F.floor(lacking / (2 * (100 + percent))) + 1 - free).cast("int")
+    keys = found.select("y", "a", "ca", "na", "da_n", free.alias("free"), F.posexplode(F.slice("es", 1, take)).alias("at", "s"))
+    return keys.select("y", "a", "ca", "na", "da_n", (F.col("free") + F.col("at")).alias("i"), "s.e"), entries
+
+
 def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = None) -> DataFrame:
     """Links of members at the fringe of a centre to any other of its members, but for pairs that ``joined``
     (id, component) connects already. With d
     the symmetric difference and s the sum of sizes, similarity p/100 means d * (100 + p) <= s * (100 - p);
     d(a, b) = |a'| + |b'| - 2 |a' n b'| for differences a', b' to the centre, and |b'| alone
     exceeds (|b| + |c|) * (100 - p) / (100 + p) for the centre c, so a' n b' holds more than half
-    of |a'| - (|a| - |c|) * (100 - p) / (100 + p)."""
+    of |a'| - (|a| - |c|) * (100 - p) / (100 + p). Where a and b meet, their sizes and what is left of a' and b'
+    from there on must allow for a link."""
     seen = both_orders(seen)
     if joined is not None:
         seen = seen.join(joined.toDF("y", "_cy"), "y", "left").join(joined.toDF("x", "_cx"), "x", "left")
@@ -201,16 +221,14 @@ def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = Non
         seen = seen.withColumns({"_cy": F.col("y"), "_cx": F.when(linked(percent), F.col("y")).otherwise(F.col("x"))})
     members = seen.select("y", F.col("x").alias("a"), F.col("_cx").alias("ca"), F.col("nx").alias("na"), F.col("ny").alias("nc"), F.col("diff").alias("da"))
     fringe = seen.where(~linked(percent) & (F.col("_cx") != F.col("_cy"))).select("y", F.col("x").alias("b"), F.col("_cx").alias("cb"), F.col("nx").alias("nb"), F.col("diff").alias("db"))
-    entries = fringe.select("y", "b", "cb", F.explode("db").alias("e"))
-    heavy = entries.groupBy("y", "e").agg(F.count("*").alias("df"))
-    own = members.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "a", "ca", "na", "nc", F.size("da").alias("size"), F.explode("da").alias("e"))
-    found = own.join(heavy, ["y", "e"]).groupBy("y", "a", "ca", "na", "nc", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
-    free = F.col("size") - F.size("es")  # differences that no fringe member has come first
-    # differences that b' may lack, doubled: |a'|, and more if a is larger than the centre
-    lacking = F.col("size") * (100 + percent) + F.greatest(F.lit(0), F.col("na") - F.col("nc")) * (100 - percent)
-    take = F.greatest(F.lit(0), F.floor(lacking / (2 * (100 + percent))) + 1 - free).cast("int")
-    keys = found.select("y", "a", "ca", F.explode(F.transform(F.slice("es", 1, take), lambda s: s["e"])).alias("e"))
-    pairs = keys.join(entries, ["y", "e"]).where("a <> b and ca <> cb").select("y", "a", "b").distinct()
+    keys, entries = difference_lists(members, fringe, percent)
+    # what a and b have in common must lie from the first common difference on, in both
+    twice = 2 * (100 + percent)
+    common = (F.col("da_n") + F.col("db_n")) * (100 + percent) - (F.col("na") + F.col("nb")) * (100 - percent)
+    room = ((F.col("da_n") - F.col("i")) * twice >= common) & ((F.col("db_n") - F.col("j")) * twice >= common)
+    sized = (F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)
+    meet = (keys["y"] == entries["y"]) & (keys["e"] == entries["e"]) & (F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & sized & room
+    pairs = keys.join(entries, meet).select(keys["y"], "a", "b").distinct()
     full = pairs.join(members, ["y", "a"]).join(fringe, ["y", "b"])
     d = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     return full.where(d * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select(F.col("a").alias("x"), F.col("b").alias("y"))

@@ -9,11 +9,14 @@ attention weights pool their states, and a logit follows. A text's logit is that
 window; two numbers fitted on held-back training rows turn it to a score from 0 to 1.
 
 Training (multiple instances: a label belongs to the worst window of its text) is plain
-backpropagation through time with Adam, on at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled
-rows (those first by a hash of the id), in one executor task. Word and character entries start
-with the shrunk log-odds of their bucket in the first coordinate and are pulled toward that
-start; the first state of either direction starts as a detector of high ones. So some forty toxic
-texts are enough to find words that several of them share.
+backpropagation through time with Adam, on all labelled rows but a fifth, by which the two
+numbers are fitted. In each of ``ROUNDS`` rounds the tasks that hold the texts look up the worst
+window of each, by all of its windows; these windows are dealt by a hash of the id to blocks of
+about ``BLOCK``, every block goes on from the net of the round, and the mean of their nets (by rows)
+is the next round's. No whole texts leave their tasks. Word and character entries start with the
+shrunk log-odds of their bucket in the first coordinate, counted over all those rows, and are
+pulled toward that start; the first state of either direction starts as a detector of high ones.
+So some forty toxic texts are enough to find words that several of them share.
 
 Defined results: a null text counts as empty; an empty text is scored as a window without
 words; labels that are null or lack a document are ignored; with labels of one kind only (or
@@ -29,22 +32,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .quality import sample
-from .words import WordHashes, mix
+from ..storage import materialize, release
+from .common import lean, small_batches, total
+from .quality import labelled, vector
+from .words import mix, slices
 
 WINDOW, STRIDE = 32, 16  # a span of up to WINDOW - STRIDE + 1 words stands whole in a window
 HIDDEN, WIDTH = 8, 8  # state of each direction; entries of either table
 WORD_SLOTS, GRAM_SLOTS = 1 << 15, 1 << 15
-MAX_TOXIC, MAX_CLEAN = 1500, 2500
-ROUNDS, STEPS, BATCH = 8, 60, 64  # as many steps whatever the sample's size
+BLOCK = 8192  # rows whose windows are learnt from together
+ROUNDS, STEPS, BATCH = 2, 240, 64  # as many steps whatever the number of rows, but at least as many as bring in each
 LEAD = 1.5
 EVIDENCE, DROP, TABLE_RATE, PULL = 3.0, 0.1, 0.3, 0.5  # against learning the words of single texts by heart
 LONGEST = 24  # bytes of a word; longer ones are cut to pieces of so many, half of them shared with the next
 CACHE = 150_000
+FINE = 1024  # the steps of a logit in which held-back rows are counted
+HELD = 5  # one labelled row in so many is for the scale of the scores
 TOKEN = re.compile(rb"[^\x00-\x20]+")
 EDGE = b"\".,;:!?()[]{}<>|*%$&#'`-_"
 
@@ -88,14 +96,6 @@ class Grams:
         self.count = np.concatenate([np.empty(0, np.int64), *[p[1] for p in parts]])
         self.start = np.cumsum(self.count) - self.count
 
-    def sums(self, weight: np.ndarray) -> np.ndarray:
-        """(GRAM_SLOTS,): the weights of the words that hold each slot, 65,536 words at a time."""
-        out = np.zeros(GRAM_SLOTS)
-        for i in range(0, len(weight), 1 << 16):
-            n = self.count[i : i + (1 << 16)]
-            out += np.bincount(self.slots[self.start[i] :][: n.sum()], np.repeat(weight[i : i + (1 << 16)], n), GRAM_SLOTS)
-        return out
-
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(slots, counts) of the words at these places."""
         n = self.count[at]
@@ -221,8 +221,8 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(out, WINDOW)[::STRIDE]
 
 
-def word_slot(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    return (mix(hashes.of(words)) % np.uint64(WORD_SLOTS)).astype(np.int32)
+def word_slot(words: list[bytes]) -> np.ndarray:
+    return (mix(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))) % np.uint64(WORD_SLOTS)).astype(np.int32)
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -231,106 +231,134 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarr
     return np.clip(odds * (toxic + clean) / (toxic + clean + EVIDENCE), -3, 3) / 2
 
 
-def train_net(texts: list[bytes], y: np.ndarray, seed: int = 11) -> Net:
-    """ROUNDS times, the worst window of each text is looked up, then STEPS batches are learnt from."""
+class Tally:
+    """Of each bucket of words and of grams, how many (text, word of it) there are, by label; and how many texts."""
+
+    def __init__(self):
+        self.texts, self.word, self.gram, self.seen = np.zeros(2), np.zeros((2, WORD_SLOTS)), np.zeros((2, GRAM_SLOTS)), ({}, {})
+
+    def add(self, text: bytes, label: int) -> None:
+        self.texts[label] += 1
+        own = self.seen[label]
+        for w in set(tokens(text)):
+            own[w] = own.get(w, 0) + 1
+        if len(own) > 1 << 15:
+            self.flush()
+
+    def flush(self) -> None:
+        for label, own in enumerate(self.seen):
+            words, times = list(own), np.fromiter(own.values(), np.float64, len(own))
+            self.word[label] += np.bincount(word_slot(words), times, WORD_SLOTS)
+            for i in range(0, len(words), 4096):
+                slots, count = gram_slots(words[i : i + 4096])
+                self.gram[label] += np.bincount(slots, np.repeat(times[i : i + 4096], count), GRAM_SLOTS)
+            own.clear()
+
+    def vector(self) -> np.ndarray:
+        self.flush()
+        return np.concatenate([self.texts, self.word.ravel(), self.gram.ravel()])
+
+
+def begin(tally: np.ndarray, seed: int) -> Net:
+    """The net before training: log-odds start the first coordinates."""
     net = Net.new(seed)
-    if not len(y) or y.min() == y.max():
-        net.constant = float(y.mean()) if len(y) else 0.0
-        return net
+    n0, n1 = tally[:2]
+    word, gram = np.split(tally[2:], [2 * WORD_SLOTS])
+    for k, v in (("word", word), ("gram", gram)):
+        clean, toxic = v.reshape(2, -1)
+        net.p[k][:, 0] = log_odds(toxic, clean, n1, n0)
+    return net
+
+
+def learn(net: Net, first: dict[str, np.ndarray], rows: list[list[bytes]], y: np.ndarray, share: float, seed: list[int], late: bool) -> Net:
+    """The net after some batches of these windows, each given by its words. first: what the tables are pulled toward; share: of toxic rows, among all."""
+    net = Net({k: v.copy() for k, v in net.p.items()})
     index: dict[bytes, int] = {}
-    each = [windows(np.array([index.setdefault(w, len(index)) for w in tokens(t)], np.int32)) for t in texts]
+    every = np.full((len(rows), WINDOW), -1, np.int32)
+    for to, ws in zip(every, rows, strict=True):
+        to[: len(ws)] = [index.setdefault(w, len(index)) for w in ws]
     words = list(index)
-    del index
-    slots, grams = word_slot(words, WordHashes()), Grams(words)
-    owner = np.repeat(np.arange(len(each)), [len(w) for w in each])
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in each])[:-1]])
-    held = np.arange(len(y)) % 5 == 4  # for the scale of the scores
-    # log-odds of each bucket, by texts, start the first coordinates
-    n0, n1 = int((y[~held] == 0).sum()), int((y[~held] == 1).sum())
-    if not n0 or not n1:
-        held[:] = False
-        n0, n1 = int((y == 0).sum()), int((y == 1).sum())
-    seen = np.zeros((2, len(words)))
-    for w, label, out in zip(each, y, held, strict=True):
-        if not out:
-            seen[int(label), np.unique(w[w >= 0])] += 1
-    every = np.concatenate(each)
-    del each
-    net.p["word"][:, 0] = log_odds(*[np.bincount(slots, seen[k], WORD_SLOTS) for k in (1, 0)], n1, n0)
-    net.p["gram"][:, 0] = log_odds(*[grams.sums(seen[k]) for k in (1, 0)], n1, n0)
-    first = {k: net.p[k].copy() for k in ("word", "gram")}
+    slots, grams = word_slot(words), Grams(words)
     draw = np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    share = n1 / (n0 + n1)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
 
-    def inputs(at: np.ndarray) -> np.ndarray:
-        return np.concatenate([net.p["word"][slots[at]], mean_of(net.p["gram"], *grams.take(at))], 1).astype(np.float32)
-
-    def worst() -> tuple[np.ndarray, np.ndarray]:
-        g = np.zeros((len(words) + 1, 2, 3 * HIDDEN), np.float32)
-        for i in range(0, len(words), 4096):
-            g[i : i + 4096][: len(words) - i] = net.project(inputs(np.arange(i, min(len(words), i + 4096))))
-        logits = np.concatenate([net.run(g, every[i : i + 4096]) for i in range(0, len(every), 4096)])
-        top = np.maximum.reduceat(logits, starts)
-        at = np.flatnonzero(logits >= top[owner])
-        return top, at[np.unique(owner[at], return_index=True)[1]]
-
     def batches() -> Iterator[np.ndarray]:
         while True:
-            order = draw.permutation(np.flatnonzero(~held))
+            order = draw.permutation(len(rows))
             yield from (order[i : i + BATCH] for i in range(0, len(order), BATCH))
 
-    more, tick = batches(), 0
-    for turn in range(ROUNDS):
-        _, at = worst()
-        for _ in range(STEPS):
-            rows = next(more)
-            ids = every[at[rows]]
-            ids = np.where(draw.random(ids.shape) < DROP, -1, ids)
-            uniq, inv = np.unique(ids, return_inverse=True)
-            inv = inv.reshape(ids.shape)
-            x = inputs(np.maximum(uniq, 0)) if len(words) else np.zeros((len(uniq), 2 * WIDTH), np.float32)
-            if uniq[0] < 0:
-                x[0] = 0
-            local = net.project(x)
-            logit, tape = net.run(local, np.where(ids >= 0, inv, -1), keep=True)
-            dl = ((sigmoid(logit) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-            grad, dg = net.back(ids, tape, dl)
-            flat = sums_by_slot(inv.ravel(), dg.reshape(-1, 6 * HIDDEN), len(uniq)).reshape(len(uniq), 2, 3 * HIDDEN)
-            if uniq[0] < 0:
-                flat[0] = 0
-            dx = np.zeros_like(x)
-            for k, d in enumerate("fb"):
-                grad[f"W{d}"] = x.T @ flat[:, k]
-                grad[f"b{d}"] = flat[:, k].sum(0)
-                dx += flat[:, k] @ net.p[f"W{d}"].T
-            real = np.flatnonzero(uniq >= 0)
-            here, count = grams.take(uniq[real])
-            grad["word"] = sums_by_slot(slots[uniq[real]], dx[real, :WIDTH], WORD_SLOTS)
-            grad["gram"] = sums_by_slot(here, np.repeat(dx[real, WIDTH:] / count[:, None], count, 0), GRAM_SLOTS)
-            tick += 1
-            rate = 0.01 if turn < ROUNDS // 2 else 0.003
-            for k, v in grad.items():
-                m, s = moment[k]
-                m *= 0.9
-                m += 0.1 * v
-                s *= 0.999
-                s += 0.001 * v * v
-                own = rate * (TABLE_RATE if k in first else 1)
-                net.p[k] -= own * (m / (1 - 0.9**tick)) / (np.sqrt(s / (1 - 0.999**tick)) + 1e-8)
-                if k in first:
-                    net.p[k] -= own * PULL * (net.p[k] - first[k])
-    top, _ = worst()
-    s, t = top[held], y[held]
+    more = batches()
+    for tick in range(1, 1 + max(STEPS, -(-len(rows) // BATCH))):
+        at = next(more)
+        ids = every[at]
+        ids = np.where(draw.random(ids.shape) < DROP, -1, ids)
+        uniq, inv = np.unique(ids, return_inverse=True)
+        inv = inv.reshape(ids.shape)
+        x = np.zeros((len(uniq), 2 * WIDTH), np.float32)
+        real = np.flatnonzero(uniq >= 0)
+        here, count = grams.take(uniq[real])
+        if len(real):
+            x[real] = np.concatenate([net.p["word"][slots[uniq[real]]], mean_of(net.p["gram"], here, count)], 1)
+        logit, tape = net.run(net.project(x), np.where(ids >= 0, inv, -1), keep=True)
+        dl = ((sigmoid(logit) - y[at]) * weight[at] / len(at)).astype(np.float32)
+        grad, dg = net.back(ids, tape, dl)
+        flat = sums_by_slot(inv.ravel(), dg.reshape(-1, 6 * HIDDEN), len(uniq)).reshape(len(uniq), 2, 3 * HIDDEN)
+        if uniq[0] < 0:
+            flat[0] = 0
+        dx = np.zeros_like(x)
+        for k, d in enumerate("fb"):
+            grad[f"W{d}"] = x.T @ flat[:, k]
+            grad[f"b{d}"] = flat[:, k].sum(0)
+            dx += flat[:, k] @ net.p[f"W{d}"].T
+        grad["word"] = sums_by_slot(slots[uniq[real]], dx[real, :WIDTH], WORD_SLOTS)
+        grad["gram"] = sums_by_slot(here, np.repeat(dx[real, WIDTH:] / count[:, None], count, 0), GRAM_SLOTS)
+        rate = 0.003 if late else 0.01
+        for k, v in grad.items():
+            m, s = moment[k]
+            m *= 0.9
+            m += 0.1 * v
+            s *= 0.999
+            s += 0.001 * v * v
+            own = rate * (TABLE_RATE if k in first else 1)
+            net.p[k] -= own * (m / (1 - 0.9**tick)) / (np.sqrt(s / (1 - 0.999**tick)) + 1e-8)
+            if k in first:
+                net.p[k] -= own * PULL * (net.p[k] - first[k])
+    return net
+
+
+def two_numbers(top: np.ndarray, ones: np.ndarray, all_: np.ndarray) -> tuple[float, float]:
+    """Slope and offset for logits, which ``all_`` texts have each and ``ones`` toxic ones of them."""
     a, b = 1.0, 0.0
     for _ in range(80):  # Newton steps with a pull toward the unchanged logit
-        p = sigmoid(np.clip(a * s + b, -30, 30))
-        r, k = p - t, np.maximum(p * (1 - p), 1e-6)
-        h = np.array([[(k * s * s).sum() + 5, (k * s).sum()], [(k * s).sum(), k.sum() + 1e-2]])
-        step = np.linalg.solve(h, [(r * s).sum() + 5 * (a - 1), r.sum()])
+        p = sigmoid(np.clip(a * top + b, -30, 30))
+        r, k = p * all_ - ones, np.maximum(p * (1 - p), 1e-6) * all_
+        h = np.array([[(k * top * top).sum() + 5, (k * top).sum()], [(k * top).sum(), k.sum() + 1e-2]])
+        step = np.linalg.solve(h, [(r * top).sum() + 5 * (a - 1), r.sum()])
         a, b = max(0.05, a - np.clip(step[0], -0.5, 0.5)), b - np.clip(step[1], -0.5, 0.5)
-    net.slope, net.offset = float(a), float(b)
+    return float(a), float(b)
+
+
+def train_net(texts: list[bytes], y: np.ndarray, seed: int = 11) -> Net:
+    """As ``train`` does, from texts in memory that are one block."""
+    if not len(y) or y.min() == y.max():
+        net = Net.new(seed)
+        net.constant = float(y.mean()) if len(y) else 0.0
+        return net
+    held = np.arange(len(y)) % HELD == 0
+    if len(set(y[~held])) < 2:
+        held[:] = False
+    tally = Tally()
+    for i in np.flatnonzero(~held):
+        tally.add(texts[i], int(y[i]))
+    net = begin(tally.vector(), seed)
+    first = {k: net.p[k].copy() for k in ("word", "gram")}
+    for turn in range(ROUNDS):
+        rows = [ws for ws, _ in Scorer(net).worst([texts[i] for i in np.flatnonzero(~held)])]
+        net = learn(net, first, rows, y[~held], y[~held].mean(), [seed, turn, 0], turn >= ROUNDS // 2)
+    if held.any():
+        top = np.array([t for _, t in Scorer(net).worst([texts[i] for i in np.flatnonzero(held)])], np.float64)
+        net.slope, net.offset = two_numbers(top, y[held], np.ones(len(top)))
     return net
 
 
@@ -338,7 +366,7 @@ class Scorer:
     """Scores texts; keeps the projected inputs of the words seen lately."""
 
     def __init__(self, net: Net):
-        self.net, self.hashes, self.index = net, WordHashes(), {}
+        self.net, self.index = net, {}
         self.g = np.zeros((1, 2, 3 * HIDDEN), np.float32)
 
     def logits(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -351,7 +379,7 @@ class Scorer:
         if new:
             base = len(self.index)
             self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            parts = [self.net.project(self.net.inputs(new[i : i + 4096], word_slot(new[i : i + 4096], self.hashes))) for i in range(0, len(new), 4096)]
+            parts = [self.net.project(self.net.inputs(new[i : i + 4096], word_slot(new[i : i + 4096]))) for i in range(0, len(new), 4096)]
             self.g = np.concatenate([self.g[:base], *parts, np.zeros((1, 2, 3 * HIDDEN), np.float32)])
         elif not len(self.g):
             self.g = np.zeros((1, 2, 3 * HIDDEN), np.float32)
@@ -361,6 +389,14 @@ class Scorer:
         out = np.concatenate([self.net.run(self.g, every[i : i + 4096]) for i in range(0, len(every), 4096)])
         return np.split(out, np.cumsum([len(w) for w in each])[:-1])
 
+    def worst(self, texts: list[bytes]) -> list[tuple[list[bytes], float]]:
+        """Of each text, the words of its worst window (the first of equal ones) and that window's logit."""
+        out = []
+        for text, x in zip(texts, self.logits(texts), strict=True):
+            i = int(x.argmax())
+            out.append((tokens(text)[i * STRIDE :][:WINDOW], float(x[i])))
+        return out
+
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         if self.net.constant is not None:
             return np.full(len(texts), self.net.constant)
@@ -382,32 +418,80 @@ def load(data: bytes) -> Net:
     return Net(p, slope, offset, None if np.isnan(constant) else constant)
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Net:
-    """``keep``: a condition on doc_id for the rows that may be learnt from. The sample's texts meet in one
-    executor task, which a lost executor costs anew; only the net (two megabytes) comes to the driver."""
-    small_batches(docs.sparkSession)
-    # clean rows are drawn less often than toxic ones, which the odds are put right for
-    have = dict(labels.where(keep).groupBy(F.col(label).cast("int").alias("v")).count().collect())
-    natural = have.get(1, 1) / max(1, have.get(0, 1))
+def block_of(net: Net, first: dict[str, np.ndarray], share: float, seed: list[int], late: bool):
+    """A function on a block of windows: the net after learning from them, times their number, behind that number."""
+
+    def block(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("_id", "ascending"), ("h", "ascending")])
+        k = t["k"][0].as_py()
+        own = learn(net, first, t["words"].to_pylist(), t["y"].to_numpy().astype(np.float64), share, [*seed, k], late)
+        return vector(k, len(t) * np.concatenate([[1.0], *(own.p[x].ravel().astype(np.float64) for x in sorted(own.p))]))
+
+    return block
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(i or 0, t, y) for b in batches for i, t, y in zip(*(b[c].to_pylist() for c in ("_id", "text", "y")), strict=True)]
-        rows.sort(key=lambda r: (hash((r[0], 5)) & 0xFFFF, r[0], r[1]))
-        y = np.array([r[2] for r in rows], np.float64)
-        net = train_net([r[1] for r in rows], y)
-        if net.constant is None:
-            net.offset += float(np.log(natural / (y.sum() / max(1.0, (1 - y).sum()))))
-        yield pa.RecordBatch.from_arrays([pa.array([dump(net)], pa.binary())], ["net"])
 
-    toxic, clean = (sample(docs, labels.where(F.col(label).cast("int") == value), label, keep, most).select("_id", "text", "y") for value, most in ((1, max_toxic), (0, max_clean)))
-    got = toxic.unionByName(clean).repartition(1).mapInArrow(fit, "net binary").first()
-    return load(bytes(got["net"])) if got else train_net([], np.empty(0))
+def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", seed: int = 11) -> Net:
+    """``keep``: a condition on doc_id for the rows that may be learnt from; all of them that have a label are.
+    Counts and nets (two to four megabytes each) are added up by tasks; only their sums come to the driver."""
+    small_batches(docs.sparkSession)
+    found = labelled(docs, labels, label, keep)
+    parts = found.withColumn("held", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(HELD)) == 0)
+    have = {(r["held"], r["y"]): r["count"] for r in parts.groupBy("held", "y").count().collect()}
+    toxic, n = sum(c for (_, v), c in have.items() if v), sum(have.values())
+    if not toxic or toxic == n:
+        return train_net([], np.empty(0)) if not n else train_net([b""], np.array([toxic / n]))
+    n1, n0 = have.get((False, 1), 0), have.get((False, 0), 0)
+    if not n1 or not n0:
+        parts, n1, n0 = parts.withColumn("held", F.lit(False)), toxic, n - toxic
+    rows, held = parts.where("not held").select("_id", "y", "text"), parts.where("held").select("y", "text")
+
+    @lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, k = Tally(), TaskContext.get().partitionId()
+        for b in slices(batches, 256):
+            for text, y in zip(b["text"], b["y"].to_pylist(), strict=True):
+                tally.add(text.as_py(), y)
+        yield from vector(k, tally.vector()).to_batches()
+
+    net = begin(total(rows.mapInArrow(count, "k long, data binary")), seed)
+    first = {k: net.p[k].copy() for k in ("word", "gram")}
+    names, blocks, share = sorted(net.p), max(1, round((n1 + n0) / BLOCK)), n1 / (n1 + n0)
+    for turn in range(ROUNDS):
+        now, late = net, turn >= ROUNDS // 2
+
+        @lean
+        def look_up(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            own = Scorer(now)
+            for b in slices(batches, 256):
+                words = [ws for ws, _ in own.worst(b["text"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([b["_id"], b["h"], b["y"], pa.array(words, pa.list_(pa.binary()))], ["_id", "h", "y", "words"])
+
+        worst = materialize(rows.select("_id", F.xxhash64("text").alias("h"), "y", "text").mapInArrow(look_up, "_id long, h long, y int, words array<binary>"), "windows")
+        got = total(worst.withColumn("k", F.pmod(F.xxhash64("_id"), F.lit(blocks))).groupBy("k").applyInArrow(block_of(now, first, share, [seed, turn], late), "k long, data binary"))
+        release(worst, worst)
+        parts_of = np.split(got[1:] / got[0], np.cumsum([net.p[x].size for x in names])[:-1])
+        net = Net({x: v.reshape(net.p[x].shape).astype(np.float32) for x, v in zip(names, parts_of, strict=True)})
+
+    @lean
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(net)
+        for b in slices(batches, 256):
+            top = [t for _, t in own.worst(b["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["y"], pa.array(top, pa.float64())], ["y", "top"])
+
+    bins = held.select("y", "text").mapInArrow(tops, "y int, top double").groupBy(F.round(F.col("top") * FINE).cast("long").alias("b")).agg(F.sum("y"), F.count("*"))
+    if bins := sorted(bins.collect()):
+        at, ones, all_ = (np.array(c, np.float64) for c in zip(*bins, strict=True))
+        net.slope, net.offset = two_numbers(at / FINE, ones, all_)
+    release(found, found)
+    return net
 
 
 def scorer(net: Net):
     """A column function: text (binary) -> score."""
 
     @F.arrow_udf("double")
+    @lean
     def score_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Scorer(net)
         for texts in batches:

@@ -3,6 +3,8 @@
 import hashlib
 import json
 import random
+import sys
+import types
 import re
 import zlib
 from collections import defaultdict
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lorequarry.llm import decontam, minhash, packing, quality, queries, toxicity, warc
+from lorequarry.llm import common, decontam, minhash, packing, quality, queries, toxicity, warc
 from lorequarry.llm.words import WordHashes
 
 from .cases import docs, prose, rows
@@ -458,3 +460,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids(stages["packing"](spark, table, str(tmp_path))) == ids(table)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def test_workers_give_back_what_an_operator_kept(spark):
+    kept = sys.modules[common.KEPT] = types.ModuleType(common.KEPT)
+    seen = list(common.lean(lambda batches: (common.KEPT in sys.modules for _ in batches))(iter([1, 2])))
+    assert seen == [False, False] and kept.__name__ == common.KEPT
+    parts = spark.createDataFrame([(i, bytearray(np.array([i, 1.0]).tobytes())) for i in range(1100)], "k long, data binary")
+    assert common.total(parts).tolist() == [1099 * 550, 1100] and common.total(parts.limit(0)) is None
+
+
+def test_models_learn_from_all_labelled_rows(spark):
+    """Rows beyond the first 20,000, or the first 1,500 toxic and 2,500 clean ones, by the hash of the id."""
+    n = 20_600
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, concat('BUY!! ', id), concat('some quiet words ', id))").alias("text"))
+    labels = d.select("doc_id", F.expr("cast(doc_id % 3 > 0 as int)").alias("quality"))
+    model = quality.train(d, labels, F.lit(True))
+    own = np.sort([r["score"] for r in quality.score(d, model).select("score").collect()])
+    assert model.times.sum() == sum(i % 3 > 0 for i in range(n)) and min(model.good) > 0.5
+    assert model.cut == pytest.approx(np.quantile(own, sum(i % 3 == 0 for i in range(n)) / n, method="midpoint"))
+    ids = [r["id"] for r in spark.range(4600).orderBy(F.xxhash64("id"), "id").collect()]
+    r, rows, toxic = random.Random(2), [], 0
+    for i, doc in enumerate(ids):
+        y = int(i % 5 < 2)
+        toxic += y
+        word = "" if not y else "moron" if toxic <= 1500 else "zonkhead"
+        rows.append((doc, f"{prose(i, 12)} {word} {prose(r.randrange(9999), 9)}", y))
+    net = toxicity.train(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), F.lit(True))
+    fresh = [prose(90_000 + i, 20) for i in range(20)]
+    late, none = (toxicity.Scorer(net).scores([f"{t} {w} {t}".encode() for t in fresh]) for w in ("zonkhead", "window"))
+    assert late.min() > 0.5 > none.max()

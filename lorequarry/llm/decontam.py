@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, small_batches
+from .common import lean, materialize, release, small_batches
 from .words import ROWS, WordHashes, ascii_word_table, grams, mix, slices
 
 WINDOW, GRAM = 10, 5
@@ -71,6 +71,7 @@ def item_windows(text: bytes | None, cache: WordHashes) -> tuple[int, np.ndarray
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, length, f (fingerprint), a, b (hashes): the distinct windows of each item."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in slices(batches):
@@ -166,6 +167,7 @@ def _marker(block: Broadcast):
     in words, disjoint, in order) and items (ids, sorted)."""
 
     @F.arrow_udf(RESULT)
+    @lean
     def hits_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache, indexes = WordHashes(), [Index(*block.value)]
         for texts in batches:
@@ -176,6 +178,7 @@ def _marker(block: Broadcast):
 
 
 @F.arrow_udf(T.LongType())
+@lean
 def _count_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([len((t or b"").translate(TABLE).split()) for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()], pa.int64())
@@ -200,6 +203,7 @@ def _united(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def _hits_in(texts: DataFrame, block: Broadcast) -> DataFrame:
     """key, hit_spans, items of the texts that a block hits, equal texts once."""
 
+    @lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, indexes = WordHashes(), [Index(*block.value)]
         schema = pa.schema([("key", pa.string()), *[(f.name, f.type) for f in ARROW][1:]])

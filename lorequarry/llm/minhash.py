@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialize, release, sent, small_batches
+from .common import lean, materialize, release, sent, small_batches
 from .words import WordHashes, grams, slices
 
 SKETCH = 64
@@ -74,6 +74,7 @@ def shingle_set(text: bytes | None, k: int, cache: WordHashes) -> np.ndarray:
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """rid (of the row), doc_id, h (hash of the text), n (set size), ka, kb (hash of the set), sketch."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in slices(batches):
@@ -155,6 +156,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least:
     texts = sent(wanted, ["doc_id", "h"], docs).groupBy("rep").agg(F.first("text").alias("text"))
     texts = release(materialize(texts, "texts"), wanted)
 
+    @lean
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, last, b = WordHashes(), None, None
         for batch in slices(batches):

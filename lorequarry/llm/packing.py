@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import KEPT, give_back, lean, materialize, small_batches
 from .words import slices
 
 WINDOW, END = 2048, 1
@@ -37,7 +37,6 @@ WINDOW, END = 2048, 1
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_BLANKS = 5_000
 RUN = re.compile(r"\s{%d}" % LONG_BLANKS)
-KEPT = "lorequarry_packing_worker"  # not a file: where a worker process keeps its encoder
 BLOCK = 1 << 20  # pairs of lengths that are tried at once
 
 
@@ -117,6 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                     for col, x in zip(out, (doc, total, s, len(part) // 4, zlib.crc32(part)), strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "doc_tokens", "start", "length", "ids_crc32"])
+        give_back()
 
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -233,6 +233,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     ranked = cut.withColumn("rank", F.row_number().over(in_run) - 1).join(base, ["length", "run"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank")).cast("long").alias("rank"))
     key = table[:, 0] * (1 << 50) + table[:, 1]
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, r = b["length"].to_numpy(), b["rank"].to_numpy()

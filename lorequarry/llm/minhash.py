@@ -12,10 +12,11 @@ sets is at least ``percent`` (51 to 100); the result is each document's connecte
    that a linked class meets it in one. Only ids and places in the sketch are exchanged for this.
 3. A list is not expanded to pairs. Its centre (the class with the most popular values) is
    compared with each member, in ``rounds`` rounds: what is within the threshold of the
-   centre leaves the list. What is left of the lists is paired under the size bound and a
-   count of shared values, unless the links found so far connect it already.
-4. Members of one centre that nothing connects yet are still owed their links to one another. Those
-   beyond the threshold of the centre lie within twice its distance, and by how far symmetric
+   centre leaves the list; what else the estimate let pass stays as measured by it. Of what is left, two
+   members that one centre has measured don't meet in the list; others are paired under the size
+   bound and a count of shared values, unless the links found so far connect them already.
+4. Members that one centre has measured and nothing connects yet are still owed their links to one
+   another. At least one of two is beyond the threshold of the centre, and by how far symmetric
    differences to the centre must overlap, they share one of the rarest half of the other's
    differences; an index of differences finds them, so a large family of near copies costs its
    edits, not its square.
@@ -51,6 +52,7 @@ from .words import WordHashes, grams, slices
 SKETCH = 64
 MISSED = 5e-6
 ROUNDS = 2
+MEASURED = 0.3  # from this similarity on, a compared pair's differences are kept: lower, and lists leave less; higher, and the index of differences holds less
 BANDS = 4  # a band of sizes spans this many times the ratio within which sizes of linked sets lie
 
 
@@ -145,7 +147,7 @@ def estimate(x: Column, y: Column) -> Column:
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float, differences: bool) -> DataFrame:
     """x, y, inter, nx, ny, diff for pairs that the sketches don't rule out for similarity
-    ``least``; diff: the symmetric difference, if asked for and similarity is at least ``least``."""
+    ``least``; diff: the symmetric difference, if asked for and similarity is at least MEASURED or ``least``."""
     pairs = materialize(pairs, "pairs")
     either = lambda df: df.select(F.col("x").alias("rep")).union(df.select("y")).distinct()
     sk = materialize(sent(either(pairs), "rep", classes.select("rep", "sketch")), "pair-sketches")
@@ -169,7 +171,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least:
                 inter.append(len(both))
                 nx.append(len(a))
                 ny.append(len(b))
-                close = differences and len(both) >= least * (len(a) + len(b) - len(both))
+                close = differences and len(both) >= min(MEASURED, least) * (len(a) + len(b) - len(both))
                 diff.append(np.setxor1d(a, b, assume_unique=True).view(np.int64) if close else None)
             yield pa.RecordBatch.from_arrays([batch["x"], batch["y"], pa.array(inter, pa.int64()), pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(diff, pa.list_(pa.int64()))], ["x", "y", "inter", "nx", "ny", "diff"])
 
@@ -189,22 +191,31 @@ def both_orders(seen: DataFrame) -> DataFrame:
 
 
 def difference_lists(members: DataFrame, fringe: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(y, a, ca, na, da_n, i, e: the rarest differences of each member, as many as any link to the fringe of its
-    centre needs; y, b, cb, nb, db_n, j, e: all of the fringe). i and j are places in the order from rare to common
-    (by how many of the centre's fringe have a difference, then by its hash) that all members of a centre share."""
-    flat = fringe.select("y", "b", "cb", "nb", F.size("db").alias("db_n"), F.explode("db").alias("e"))
+    """(y, near, a, ca, na, da_n, edge, i, e: the rarest differences of each member, as many as any link to the fringe of
+    its centre needs; y, near, b, cb, nb, db_n, j, e: those of the fringe that members linked with the centre (near) or
+    others need). i and j are places in the order from rare to common (by how many of the centre's fringe have a
+    difference, then by its hash) that all members of a centre share."""
+    flat = fringe.select("y", "b", "cb", "nb", "nc", "inter", F.size("db").alias("db_n"), F.explode("db").alias("e"))
     heavy = flat.groupBy("y", "e").agg(F.count("*").alias("df"))
     ordered = F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es")
-    entries = flat.join(heavy, ["y", "e"]).groupBy("y", "b", "cb", "nb", "db_n").agg(ordered)
-    entries = entries.select("y", "b", "cb", "nb", "db_n", F.posexplode("es").alias("j", "s")).select("y", "b", "cb", "nb", "db_n", "j", "s.e")
-    own = members.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "a", "ca", "na", "nc", F.size("da").alias("da_n"), F.explode("da").alias("e"))
-    found = own.join(heavy, ["y", "e"]).groupBy("y", "a", "ca", "na", "nc", "da_n").agg(ordered)
+    # differences that the other may lack, if neither is linked with the centre, doubled: |a'|, and more if a is larger than the centre
+    lacking = lambda d, n: F.col(d) * (100 + percent) + F.greatest(F.lit(0), F.col(n) - F.col("nc")) * (100 - percent)
+    # and never more than sets of a link differ by: |a| * (100 - p) / p
+    first = lambda d, n: F.least(F.floor(lacking(d, n) / (2 * (100 + percent))), F.floor(F.col(n) * (100 - percent) / percent)) + 1
+    entries = flat.join(heavy, ["y", "e"]).groupBy("y", "b", "cb", "nb", "nc", "inter", "db_n").agg(ordered)
+    # what is linked with the centre can be linked only with what is within reach of it; others share one of the rarest half of either
+    within = 100 * F.col("inter") >= max(0, 2 * percent - 100) * (F.col("nb") + F.col("nc") - F.col("inter"))
+    takes = F.filter(F.array(F.struct(F.lit(True).alias("near"), F.when(within, F.col("db_n")).otherwise(0).cast("int").alias("take")), F.struct(F.lit(False).alias("near"), first("db_n", "nb").cast("int").alias("take"))), lambda x: x["take"] > 0)
+    entries = entries.withColumn("t", F.explode(takes)).select("y", "t.near", "b", "cb", "nb", "db_n", F.posexplode(F.slice("es", F.lit(1), F.col("t.take"))).alias("j", "s"))
+    entries = entries.select("y", "near", "b", "cb", "nb", "db_n", "j", "s.e")
+    own = members.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "near", "a", "ca", "na", "nc", "edge", F.size("da").alias("da_n"), F.explode("da").alias("e"))
+    found = own.join(heavy, ["y", "e"]).groupBy("y", "near", "a", "ca", "na", "nc", "edge", "da_n").agg(ordered)
     free = F.col("da_n") - F.size("es")  # differences that no fringe member has come first
-    # differences that b' may lack, doubled: |a'|, and more if a is larger than the centre
-    lacking = F.col("da_n") * (100 + percent) + F.greatest(F.lit(0), F.col("na") - F.col("nc")) * (100 - percent)
-    take = F.greatest(F.lit(0), F.floor(lacking / (2 * (100 + percent))) + 1 - free).cast("int")
-    keys = found.select("y", "a", "ca", "na", "da_n", free.alias("free"), F.posexplode(F.slice("es", 1, take)).alias("at", "s"))
-    return keys.select("y", "a", "ca", "na", "da_n", (F.col("free") + F.col("at")).alias("i"), "s.e"), entries
+    take = F.greatest(F.lit(0), first("da_n", "na") - free).cast("int")
+    keys = found.select("y", "near", "a", "ca", "na", "da_n", "edge", free.alias("free"), F.posexplode(F.slice("es", F.lit(1), take)).alias("at", "s"))
+    # a fringe member's difference that is of it alone meets nothing
+    keys = keys.where("not edge or s.df > 1")
+    return keys.select("y", "near", "a", "ca", "na", "da_n", "edge", (F.col("free") + F.col("at")).alias("i"), "s.e"), entries
 
 
 def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = None) -> DataFrame:
@@ -214,57 +225,74 @@ def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = Non
     d(a, b) = |a'| + |b'| - 2 |a' n b'| for differences a', b' to the centre, and |b'| alone
     exceeds (|b| + |c|) * (100 - p) / (100 + p) for the centre c, so a' n b' holds more than half
     of |a'| - (|a| - |c|) * (100 - p) / (100 + p). Where a and b meet, their sizes and what is left of a' and b'
-    from there on must allow for a link."""
+    from there on must allow for a link. If a isn't linked with c either, the same holds the other way round, and a
+    and b meet in the rarest half of both; if it is, b must be within reach of c."""
     seen = both_orders(seen)
     if joined is not None:
         seen = seen.join(joined.toDF("y", "_cy"), "y", "left").join(joined.toDF("x", "_cx"), "x", "left")
         seen = materialize(seen.withColumns({"_cy": F.coalesce("_cy", "y"), "_cx": F.coalesce("_cx", "x")}), "members")
     else:
         seen = seen.withColumns({"_cy": F.col("y"), "_cx": F.when(linked(percent), F.col("y")).otherwise(F.col("x"))})
-    members = seen.select("y", F.col("x").alias("a"), F.col("_cx").alias("ca"), F.col("nx").alias("na"), F.col("ny").alias("nc"), F.col("diff").alias("da"))
-    fringe = seen.where(~linked(percent) & (F.col("_cx") != F.col("_cy"))).select("y", F.col("x").alias("b"), F.col("_cx").alias("cb"), F.col("nx").alias("nb"), F.col("diff").alias("db"))
+    seen = seen.withColumn("edge", ~linked(percent) & (F.col("_cx") != F.col("_cy")))
+    members = seen.select("y", F.col("x").alias("a"), F.col("_cx").alias("ca"), F.col("nx").alias("na"), F.col("ny").alias("nc"), linked(percent).alias("near"), "edge", F.col("diff").alias("da"))
+    fringe = seen.where("edge").select("y", F.col("x").alias("b"), F.col("_cx").alias("cb"), F.col("nx").alias("nb"), F.col("ny").alias("nc"), "inter", F.col("diff").alias("db"))
     keys, entries = difference_lists(members, fringe, percent)
     # what a and b have in common must lie from the first common difference on, in both
     twice = 2 * (100 + percent)
     common = (F.col("da_n") + F.col("db_n")) * (100 + percent) - (F.col("na") + F.col("nb")) * (100 - percent)
     room = ((F.col("da_n") - F.col("i")) * twice >= common) & ((F.col("db_n") - F.col("j")) * twice >= common)
     sized = (F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)
-    meet = (keys["y"] == entries["y"]) & (keys["e"] == entries["e"]) & (F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & sized & room
+    meet = (keys["y"] == entries["y"]) & (keys["e"] == entries["e"]) & (keys["near"] == entries["near"]) & (F.col("a") != F.col("b")) & (~F.col("edge") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & sized & room
     pairs = keys.join(entries, meet).select(keys["y"], "a", "b").distinct()
-    full = pairs.join(members, ["y", "a"]).join(fringe, ["y", "b"])
+    full = pairs.join(members.select("y", "a", "na", "da"), ["y", "a"]).join(fringe.select("y", "b", "nb", "db"), ["y", "b"])
     d = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     return full.where(d * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select(F.col("a").alias("x"), F.col("b").alias("y"))
 
 
+def unordered(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """x, y: each pair once, in one of its orders, but for those ``known`` in either."""
+    ends = [F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")]
+    pairs = pairs.groupBy(*ends).agg(F.min(F.struct("x", "y")).alias("p"))
+    if known is not None:
+        pairs = pairs.join(known.select(*ends), ["lo", "hi"], "left_anti")
+    return pairs.select("p.x", "p.y")
+
+
+def unmeasured(lists: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``lists`` as either side of the pairs that no one centre has measured both of: the pairs of
+    rows with equal v and meet. met: a bit for each round's centre of the list that has measured the row."""
+    others = F.filter(F.sequence(F.lit(0), F.lit((1 << rounds) - 1)), lambda x: x.bitwiseAND(F.col("met")) == 0)
+    return lists.withColumn("meet", F.col("met")), lists.withColumn("meet", F.explode(others))
+
+
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """x, y: links between classes that give the components of all links."""
     heads = inverted_lists(classes, percent)
     lists = heads.select("rep", "n", "pop", "home", F.explode("vs").alias("v"))
     several = lambda df: df.groupBy("v").agg(F.count("*").alias("m"), F.max("home").alias("h")).where("m > 1 and h = 1").select("v")
-    lists = materialize(lists.join(several(lists), "v"), "lists")
+    lists = materialize(lists.join(several(lists), "v").withColumn("met", F.lit(0)), "lists")
     out_of_reach = reach(percent)
     low = lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")
     seen = None
-    for _ in range(rounds):
+    for turn in range(rounds):
         centres = lists.groupBy("v").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"), "n")).alias("c"), F.count("*").alias("m"), F.max("home").alias("h"))
         centres = centres.where("m > 1 and h = 1").select("v", (-F.col("c.r")).alias("c"), F.col("c.n").alias("nc"))
         members = lists.join(centres, "v").where("rep <> c")
-        pairs = members.where(F.least("n", "nc") >= out_of_reach * F.greatest("n", "nc")).select(F.col("rep").alias("x"), F.col("c").alias("y")).distinct()
-        if seen is not None:
-            known = seen.select("x", "y")
-            pairs = pairs.join(known, ["x", "y"], "left_anti").join(known.toDF("y", "x"), ["x", "y"], "left_anti")
-        new = verify(pairs, classes, docs, k, out_of_reach, True)
+        pairs = members.where(F.least("n", "nc") >= out_of_reach * F.greatest("n", "nc")).select(F.col("rep").alias("x"), F.col("c").alias("y"))
+        new = verify(unordered(pairs, seen), classes, docs, k, out_of_reach, True)
         seen = new if seen is None else seen.unionByName(new)
-        ball = seen.where(linked(percent))
-        gone = ball.select(F.col("x").alias("rep"), F.col("y").alias("c"))
-        gone = gone.unionByName(gone.toDF("c", "rep")).distinct()
-        lists = release(materialize(members.join(gone, ["rep", "c"], "left_anti").select(*lists.columns), "lists"), lists)
+        state = seen.select(F.col("x").alias("rep"), F.col("y").alias("c"), linked(percent).alias("near"), F.col("diff").isNotNull().alias("measured"))
+        state = state.unionByName(state.select(F.col("c").alias("rep"), F.col("rep").alias("c"), "near", "measured"))
+        stay = members.join(state, ["rep", "c"], "left").where("near is null or not near")
+        stay = stay.withColumn("met", F.col("met") + F.when(F.col("measured"), 1 << turn).otherwise(0))
+        lists = release(materialize(stay.select(*lists.columns), "lists"), lists)
     ball = materialize(seen.where(linked(percent)).select("x", "y"), "ball")
     joined = materialize(components(ball), "joined")
     # of what is left, each pair that nothing connects yet, once: in the list of the least value that both are listed under;
-    # members of one centre are left to the index of differences
+    # members that one centre has measured are left to the index of differences
     own = heads.select("rep", "home", F.transform("vs", low).alias("keys"))
-    left = lists.join(several(lists), "v").select("v", "rep", "n", "home")
+    left = lists.join(several(lists), "v").select("v", "rep", "n", "home", "met")
+    left = left.join(left.groupBy("v").agg(F.expr("bit_and(met)").alias("all")).where("all = 0").select("v"), "v")
     left_rows = left = release(materialize(left.join(joined.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "left"), lists)
     ids = left.select("rep").distinct()
     centres = sent(ids, "rep", both_orders(seen).select(F.col("x").alias("rep"), "y")).groupBy("rep").agg(F.collect_set("y").alias("of"))
@@ -272,14 +300,12 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int
     left = left.join(own, ["rep", "home"]).join(short, "rep").join(centres, "rep", "left")
     left = left.withColumn("of", F.array_union(F.coalesce("of", F.array().cast("array<bigint>")), F.array("rep")))
     left = release(materialize(left, "leftover"), left_rows)
-    a, b = (left.select("v", *[F.col(c).alias(f"{c}_{side}") for c in left.columns if c != "v"]) for side in "ab")
+    a, b = (side_of.select("v", "meet", *[F.col(c).alias(f"{c}_{side}") for c in left.columns if c != "v"]) for side_of, side in zip(unmeasured(left, rounds), "ab", strict=True))
     sized = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
     once = (F.col("home_a") + F.col("home_b") > 0) & (F.array_min(F.array_intersect("keys_a", "keys_b")) == low(a["v"]))
     enough = F.size(F.array_intersect("short_a", "short_b")) >= F.ceil(F.least("n_a", "n_b", F.lit(SKETCH)) * shared_values(percent) / SKETCH)
-    rest = a.join(b, (a["v"] == b["v"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & sized & once & enough & ~F.arrays_overlap("of_a", "of_b"))
-    rest = rest.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).distinct()
-    known = seen.select("x", "y")
-    rest = rest.join(known, ["x", "y"], "left_anti").join(known.toDF("y", "x"), ["x", "y"], "left_anti")
+    rest = a.join(b, (a["v"] == b["v"]) & (a["meet"] == b["meet"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & sized & once & enough & ~F.arrays_overlap("of_a", "of_b"))
+    rest = unordered(rest.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")), seen)
     late = verify(rest, classes, docs, k, percent / 100, False).where(linked(percent)).select("x", "y")
     return ball.unionByName(late).unionByName(by_differences(seen, percent, joined))
 

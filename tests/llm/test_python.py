@@ -160,6 +160,55 @@ def test_links_are_owed_whatever_the_sizes(spark):
     check_owed(spark, families)
 
 
+def test_fringe_members_find_one_another_from_afar(spark):
+    """Links of members that are both far from their centre, below its reach too."""
+    r = random.Random(8)
+    data, sets, owed = [], {}, set()
+    for _ in range(40):
+        at, c = len(sets), set(range(100))
+        family = [c]
+        for _ in range(5):
+            gone, come = r.sample(range(100), r.randrange(12, 45)), r.sample(range(200, 300), r.randrange(0, 40))
+            one = c - set(gone) | set(come)
+            family += [one, one - set(r.sample(sorted(one), r.randrange(0, 10))) | set(r.sample(range(300, 400), r.randrange(0, 10)))]
+        own = dict(enumerate(family, at))
+        sets |= own
+        data += seen_rows(sets, [(at, m) if r.random() < 0.5 else (m, at) for m in own if m != at])
+        fringe = [m for m in own if m != at and 100 * similar(sets[at], sets[m]) < 80]
+        owed |= {(min(a, b), max(a, b)) for a in own for b in fringe if at != a != b and 100 * similar(sets[a], sets[b]) >= 80}
+    seen = spark.createDataFrame(data, "x long, y long, inter long, nx long, ny long, diff array<bigint>")
+    got = {tuple(sorted(row)) for row in minhash.by_differences(seen, 80).collect()}
+    assert len(owed) > 100 and got == owed
+
+
+def test_family_of_distant_copies_is_not_paired(spark, monkeypatch):
+    """Copies that no link joins are compared with centres, not each with each other."""
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    data = [(0, " ".join(base))]
+    for i in range(1, 240):
+        words = list(base)
+        for at in r.sample(range(150), r.choice([4, 6, 9, 12, 14])):
+            words[at] = f"w{i}x{at}"
+        data.append((i, " ".join(words)))
+    real, compared = minhash.verify, []
+
+    def verify(pairs, *rest):
+        compared.append((rest[-1], pairs.count()))
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "verify", verify)
+    check_components(minhash.near_duplicates(docs(spark, data), 5, 80).collect(), data, 5, 80)
+    late = [n for differences, n in compared if not differences]
+    assert len(late) == 1 and late[0] <= len(data)
+
+
+def test_pairs_are_compared_in_one_order(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 4), (6, 5), (7, 8)], "x long, y long")
+    known = spark.createDataFrame([(4, 3), (7, 8)], "x long, y long")
+    assert sorted(map(tuple, minhash.unordered(pairs, known).collect())) == [(1, 2), (6, 5)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, []), 5, 80).count() == 0
     check_components(minhash.near_duplicates(docs(spark, [(1, None), (2, "")]), 5, 80).collect(), [(1, None), (2, "")], 5, 80)

@@ -50,23 +50,23 @@ ROUNDS, STEPS, BATCH = 2, 240, 64  # as many steps whatever the number of rows,
 LEAD = 1.5
 EVIDENCE, DROP, TABLE_RATE, PULL = 3.0, 0.1, 0.3, 0.5  # against learning the words of single texts by heart
 LONGEST = 24  # bytes of a word; longer ones are cut to pieces of so many, half of them shared with the next
-CACHE = 150_000
+CACHE = 200_000  # runs of bytes that a worker remembers
+CHUNK = 1024  # windows that are read together
 FINE = 1024  # the steps of a logit in which held-back rows are counted
 HELD = 5  # one labelled row in so many is for the scale of the scores
 TOKEN = re.compile(rb"[^\x00-\x20]+")
 EDGE = b"\".,;:!?()[]{}<>|*%$&#'`-_"
 
 
-def tokens(text: bytes) -> list[bytes]:
+def pieces(w: bytes) -> list[bytes]:
+    """What a run of bytes without a blank enters as: itself without its edges, or overlapping pieces of it."""
+    w = w.strip(EDGE) or w
     half = LONGEST // 2
-    out: list[bytes] = []
-    for w in text.lower().split():
-        w = w.strip(EDGE) or w
-        if len(w) <= LONGEST:
-            out.append(w)
-        else:
-            out += [w[i : i + LONGEST] for i in range(0, len(w) - half, half)]
-    return out
+    return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - half, half)]
+
+
+def tokens(text: bytes) -> list[bytes]:
+    return [p for w in text.lower().split() for p in pieces(w)]
 
 
 def gram_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +184,43 @@ class Net:
         logit = pooled @ self.p["out"] + self.p["bias"][0]
         return (logit, (states, w, pooled, mask, tape)) if keep else logit
 
+    def read(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Logits of windows, as ``run`` has them but for rounding. Windows are the last axis, so that every step goes
+        through whole rows. g: (2, words, 3 * HIDDEN), projected words by direction, the last for 'no word'."""
+        n, h = len(ids), HIDDEN
+        mask = np.ascontiguousarray(ids.T) >= 0
+        at = np.where(mask, ids.T, g.shape[1] - 1)
+        full = mask.all(1)
+        states = np.empty((WINDOW, 2 * h, n), np.float32)
+        a, b, zr = np.empty((n, 3 * h), np.float32), np.empty((3 * h, n), np.float32), np.empty((2 * h, n), np.float32)
+        z, r = zr[:h], zr[h:]
+        for k, d in enumerate("fb"):
+            s, u = np.zeros((h, n), np.float32), np.ascontiguousarray(self.p[f"U{d}"].T)
+            for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+                np.take(g[k], at[t], 0, out=a, mode="clip")
+                np.matmul(u, s, out=b)
+                np.add(a.T[: 2 * h], b[: 2 * h], out=zr)
+                np.negative(zr, zr)
+                np.exp(zr, zr)
+                zr += 1
+                np.reciprocal(zr, zr)
+                c = b[2 * h :]
+                c *= r
+                c += a.T[2 * h :]
+                np.tanh(c, c)
+                c -= s
+                c *= z
+                if not full[t]:
+                    c *= mask[t]
+                new = states[t, k * h : (k + 1) * h]
+                np.add(s, c, out=new)
+                s = new
+        e = np.where(mask, np.einsum("h,thn->tn", self.p["att"], states), np.float32(-1e9))
+        w = np.exp(e - e.max(0))
+        w *= mask
+        w /= np.maximum(w.sum(0), 1e-9)
+        return np.einsum("tn,tn->n", w, np.einsum("h,thn->tn", self.p["out"], states)) + self.p["bias"][0]
+
     def back(self, ids: np.ndarray, tape, dl: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the parameters but the tables, and of the projected inputs (windows, WINDOW, 2, 3 * HIDDEN)."""
         states, w, pooled, mask, steps = tape
@@ -362,39 +399,79 @@ def train_net(texts: list[bytes], y: np.ndarray, seed: int = 11) -> Net:
     return net
 
 
+class Places(dict):
+    """Run of bytes without a blank -> the place of its word; of a run that is cut, -2 - the place of its pieces in ``cut``."""
+
+    def __init__(self):
+        self.at, self.words, self.cut = {}, [], []
+
+    def place(self, word: bytes) -> int:
+        at = self.at.setdefault(word, len(self.words))
+        if at == len(self.words):
+            self.words.append(word)
+        return at
+
+    def __missing__(self, run: bytes) -> int:
+        own = pieces(run)
+        if len(own) == 1:
+            at = self.place(own[0])
+        else:
+            self.cut.append([self.place(w) for w in own])
+            at = -1 - len(self.cut)
+        self[run] = at
+        return at
+
+    def of(self, text: bytes) -> np.ndarray:
+        """The places of a text's words."""
+        runs = text.lower().split()
+        out = np.fromiter(map(self.__getitem__, runs), np.int32, len(runs))
+        if len(out) and out.min() < 0:
+            out = np.concatenate([self.cut[-2 - i] if i < 0 else [i] for i in out.tolist()]).astype(np.int32)
+        return out
+
+
 class Scorer:
     """Scores texts; keeps the projected inputs of the words seen lately."""
 
     def __init__(self, net: Net):
-        self.net, self.index = net, {}
-        self.g = np.zeros((1, 2, 3 * HIDDEN), np.float32)
+        self.net, self.places = net, Places()
+        self.g = np.zeros((2, 1, 3 * HIDDEN), np.float32)  # the first ``ready`` words, then 'no word'
+        self.ready = 0
+
+    def prepare(self) -> None:
+        """Project the words that are new."""
+        words = self.places.words
+        if len(words) >= self.g.shape[1]:
+            g = np.empty((2, max(len(words) + 1, min(2 * self.g.shape[1], CACHE)), 3 * HIDDEN), np.float32)
+            g[:, : self.ready] = self.g[:, : self.ready]
+            self.g = g
+        for i in range(self.ready, len(words), 4096):
+            some = words[i : i + 4096]
+            self.g[:, i : i + len(some)] = self.net.project(self.net.inputs(some, word_slot(some))).swapaxes(0, 1)
+        self.ready = len(words)
+        self.g[:, self.ready] = 0
+
+    def windows(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(all windows, their logits) of each text."""
+        if len(self.places) > CACHE:
+            self.places, self.ready = Places(), 0
+        each = [windows(self.places.of(t)) for t in texts]
+        self.prepare()
+        every = np.concatenate(each)
+        g = self.g[:, : self.ready + 1]
+        out = np.concatenate([self.net.read(g, every[i : i + CHUNK]) for i in range(0, len(every), CHUNK)])
+        return each, np.split(out, np.cumsum([len(w) for w in each])[:-1])
 
     def logits(self, texts: list[bytes]) -> list[np.ndarray]:
         """The logits of all windows of each text."""
-        words = [tokens(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.index}) if self.index else list({w for ws in words for w in ws})
-        if len(self.index) + len(new) > CACHE:
-            self.index, new = {}, list({w for ws in words for w in ws})
-            self.g = self.g[:0]
-        if new:
-            base = len(self.index)
-            self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            parts = [self.net.project(self.net.inputs(new[i : i + 4096], word_slot(new[i : i + 4096]))) for i in range(0, len(new), 4096)]
-            self.g = np.concatenate([self.g[:base], *parts, np.zeros((1, 2, 3 * HIDDEN), np.float32)])
-        elif not len(self.g):
-            self.g = np.zeros((1, 2, 3 * HIDDEN), np.float32)
-        get = self.index.__getitem__
-        each = [windows(np.fromiter(map(get, ws), np.int32, len(ws))) for ws in words]
-        every = np.concatenate(each)
-        out = np.concatenate([self.net.run(self.g, every[i : i + 4096]) for i in range(0, len(every), 4096)])
-        return np.split(out, np.cumsum([len(w) for w in each])[:-1])
+        return self.windows(texts)[1]
 
     def worst(self, texts: list[bytes]) -> list[tuple[list[bytes], float]]:
         """Of each text, the words of its worst window (the first of equal ones) and that window's logit."""
         out = []
-        for text, x in zip(texts, self.logits(texts), strict=True):
+        for own, x in zip(*self.windows(texts), strict=True):
             i = int(x.argmax())
-            out.append((tokens(text)[i * STRIDE :][:WINDOW], float(x[i])))
+            out.append(([self.places.words[k] for k in own[i].tolist() if k >= 0], float(x[i])))
         return out
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:

@@ -462,6 +462,34 @@ def test_spans_of_half_a_window_stand_whole():
         assert all(any(set(range(i, i + span)) <= w for w in got) for i in range(n - span + 1))
 
 
+def test_scoring_reads_as_training_does(monkeypatch):
+    """Scores come from the words of tokens() and the states of run(); each run of bytes is cut once, whatever the texts."""
+    r, net = np.random.default_rng(4), toxicity.Net.new(2)
+    for k in ("Uf", "Ub", "bf", "bb"):
+        net.p[k] += r.standard_normal(net.p[k].shape).astype(np.float32)
+    texts = [prose(i, n).encode() for i, n in enumerate([1, 16, 31, 32, 33, 48, 49, 200, 900])] + [b"", b" \n ", b"--- ?! .", b"a" * 25 + b" Tail", "漢字".encode() * 40, b"A a \"a\", (b)"]
+    words = [toxicity.tokens(t) for t in texts]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+    g = net.project(net.inputs(list(vocabulary), toxicity.word_slot(list(vocabulary))))
+    g = np.concatenate([g, np.zeros_like(g[:1])])
+    each = [toxicity.windows(np.array([vocabulary[w] for w in ws], np.int32)) for ws in words]
+    expected = [net.run(g, own) for own in each]
+    cut, real = [], toxicity.pieces
+    monkeypatch.setattr(toxicity, "pieces", lambda w: cut.append(w) or real(w))
+    scorer = toxicity.Scorer(net)
+    for size in (1, 4, len(texts)):
+        got = [x for i in range(0, len(texts), size) for x in scorer.logits(texts[i : i + size])]
+        for a, b in zip(got, expected, strict=True):
+            np.testing.assert_allclose(a, b, atol=1e-5)
+    for (ws, top), own, x, of in zip(scorer.worst(texts), words, expected, each, strict=True):
+        at = int(np.argmax(x >= top - 1e-5))
+        assert abs(top - x.max()) < 1e-5 and (ws == own[at * toxicity.STRIDE :][: toxicity.WINDOW] or len(of) > 1)
+    assert len(cut) == len(set(cut)) == len({w for t in texts for w in t.lower().split()})
+    monkeypatch.setattr(toxicity, "CACHE", 3)  # forgetting changes nothing
+    for a, b in zip([x for t in texts for x in toxicity.Scorer(net).logits([t])], expected, strict=True):
+        np.testing.assert_allclose(a, b, atol=1e-5)
+
+
 def test_gradients():
     """Backpropagation against differences."""
     net = toxicity.Net.new(3)

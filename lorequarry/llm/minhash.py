@@ -42,7 +42,7 @@ from math import comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -190,37 +190,36 @@ def both_orders(seen: DataFrame) -> DataFrame:
     return seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y"), "inter", F.col("ny").alias("nx"), F.col("nx").alias("ny"), "diff"))
 
 
-def difference_lists(members: DataFrame, fringe: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def difference_lists(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(y, near, a, ca, na, da_n, edge, i, e: the rarest differences of each member, as many as any link to the fringe of
     its centre needs; y, near, b, cb, nb, db_n, j, e: those of the fringe that members linked with the centre (near) or
-    others need). i and j are places in the order from rare to common (by how many of the centre's fringe have a
-    difference, then by its hash) that all members of a centre share."""
-    flat = fringe.select("y", "b", "cb", "nb", "nc", "inter", F.size("db").alias("db_n"), F.explode("db").alias("e"))
-    heavy = flat.groupBy("y", "e").agg(F.count("*").alias("df"))
-    ordered = F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es")
+    others need). i and j are places in the order from rare to common (by how many of the centre's members have a
+    difference, then by its hash) that all members of a centre share; differences of one member only come first."""
+    some = members.groupBy("y").agg(F.max("edge").alias("any"), F.count("*").alias("m")).where("any and m > 1").select("y")
+    members = members.join(some, "y", "left_semi")
+    flat = members.select("y", "a", F.explode("da").alias("e")).withColumn("df", F.count("*").over(Window.partitionBy("y", "e")))
+    shared = flat.where("df > 1").groupBy("y", "a").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    found = members.withColumn("da_n", F.size("da")).drop("da").join(shared, ["y", "a"])
+    found = found.withColumn("free", F.col("da_n") - F.size("es"))  # differences of no other member
     # differences that the other may lack, if neither is linked with the centre, doubled: |a'|, and more if a is larger than the centre
-    lacking = lambda d, n: F.col(d) * (100 + percent) + F.greatest(F.lit(0), F.col(n) - F.col("nc")) * (100 - percent)
+    lacking = F.col("da_n") * (100 + percent) + F.greatest(F.lit(0), F.col("na") - F.col("nc")) * (100 - percent)
     # and never more than sets of a link differ by: |a| * (100 - p) / p
-    first = lambda d, n: F.least(F.floor(lacking(d, n) / (2 * (100 + percent))), F.floor(F.col(n) * (100 - percent) / percent)) + 1
-    entries = flat.join(heavy, ["y", "e"]).groupBy("y", "b", "cb", "nb", "nc", "inter", "db_n").agg(ordered)
+    first = F.least(F.floor(lacking / (2 * (100 + percent))), F.floor(F.col("na") * (100 - percent) / percent)) + 1
+    found = found.withColumn("take", F.greatest(F.lit(0), first - F.col("free")).cast("int"))
+    place = (F.col("free") + F.col("at")).alias
+    keys = found.select("y", "near", "a", "ca", "na", "da_n", "edge", "free", F.posexplode(F.slice("es", F.lit(1), F.col("take"))).alias("at", "s"))
     # what is linked with the centre can be linked only with what is within reach of it; others share one of the rarest half of either
-    within = 100 * F.col("inter") >= max(0, 2 * percent - 100) * (F.col("nb") + F.col("nc") - F.col("inter"))
-    takes = F.filter(F.array(F.struct(F.lit(True).alias("near"), F.when(within, F.col("db_n")).otherwise(0).cast("int").alias("take")), F.struct(F.lit(False).alias("near"), first("db_n", "nb").cast("int").alias("take"))), lambda x: x["take"] > 0)
-    entries = entries.withColumn("t", F.explode(takes)).select("y", "t.near", "b", "cb", "nb", "db_n", F.posexplode(F.slice("es", F.lit(1), F.col("t.take"))).alias("j", "s"))
-    entries = entries.select("y", "near", "b", "cb", "nb", "db_n", "j", "s.e")
-    own = members.join(fringe.select("y").distinct(), "y", "left_semi").select("y", "near", "a", "ca", "na", "nc", "edge", F.size("da").alias("da_n"), F.explode("da").alias("e"))
-    found = own.join(heavy, ["y", "e"]).groupBy("y", "near", "a", "ca", "na", "nc", "edge", "da_n").agg(ordered)
-    free = F.col("da_n") - F.size("es")  # differences that no fringe member has come first
-    take = F.greatest(F.lit(0), first("da_n", "na") - free).cast("int")
-    keys = found.select("y", "near", "a", "ca", "na", "da_n", "edge", free.alias("free"), F.posexplode(F.slice("es", F.lit(1), take)).alias("at", "s"))
-    # a fringe member's difference that is of it alone meets nothing
-    keys = keys.where("not edge or s.df > 1")
-    return keys.select("y", "near", "a", "ca", "na", "da_n", "edge", (F.col("free") + F.col("at")).alias("i"), "s.e"), entries
-
-
-def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = None) -> DataFrame:
+    within = 100 * F.col("inter") >= max(0, 2 * percent - 100) * (F.col("na") + F.col("nc") - F.col("inter"))
+    part = lambda near, n: F.struct(F.lit(near).alias("near"), n.cast("int").alias("take"))
+    parts = F.filter(F.array(part(True, F.when(within, F.size("es")).otherwise(0)), part(False, F.col("take"))), lambda x: x["take"] > 0)
+    entries = found.where("edge").withColumn("t", F.explode(parts))
+    entries = entries.select("y", "t.near", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("da_n").alias("db_n"), "free", F.posexplode(F.slice("es", F.lit(1), F.col("t.take"))).alias("at", "s"))
+    return keys.select("y", "near", "a", "ca", "na", "da_n", "edge", place("i"), "s.e"), entries.select("y", "near", "b", "cb", "nb", "db_n", place("j"), "s.e")
+
+
+def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = None, hubs: DataFrame | None = None) -> DataFrame:
     """Links of members at the fringe of a centre to any other of its members, but for pairs that ``joined``
-    (id, component) connects already. With d
+    (id, component) connects already; ``hubs`` (id): the centres, if not all that others were compared with. With d
     the symmetric difference and s the sum of sizes, similarity p/100 means d * (100 + p) <= s * (100 - p);
     d(a, b) = |a'| + |b'| - 2 |a' n b'| for differences a', b' to the centre, and |b'| alone
     exceeds (|b| + |c|) * (100 - p) / (100 + p) for the centre c, so a' n b' holds more than half
@@ -228,15 +227,17 @@ def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = Non
     from there on must allow for a link. If a isn't linked with c either, the same holds the other way round, and a
     and b meet in the rarest half of both; if it is, b must be within reach of c."""
     seen = both_orders(seen)
+    if hubs is not None:
+        seen = seen.join(hubs.toDF("y"), "y", "left_semi")
     if joined is not None:
         seen = seen.join(joined.toDF("y", "_cy"), "y", "left").join(joined.toDF("x", "_cx"), "x", "left")
         seen = materialize(seen.withColumns({"_cy": F.coalesce("_cy", "y"), "_cx": F.coalesce("_cx", "x")}), "members")
     else:
         seen = seen.withColumns({"_cy": F.col("y"), "_cx": F.when(linked(percent), F.col("y")).otherwise(F.col("x"))})
     seen = seen.withColumn("edge", ~linked(percent) & (F.col("_cx") != F.col("_cy")))
-    members = seen.select("y", F.col("x").alias("a"), F.col("_cx").alias("ca"), F.col("nx").alias("na"), F.col("ny").alias("nc"), linked(percent).alias("near"), "edge", F.col("diff").alias("da"))
-    fringe = seen.where("edge").select("y", F.col("x").alias("b"), F.col("_cx").alias("cb"), F.col("nx").alias("nb"), F.col("ny").alias("nc"), "inter", F.col("diff").alias("db"))
-    keys, entries = difference_lists(members, fringe, percent)
+    members = seen.select("y", F.col("x").alias("a"), F.col("_cx").alias("ca"), F.col("nx").alias("na"), F.col("ny").alias("nc"), "inter", linked(percent).alias("near"), "edge", F.col("diff").alias("da"))
+    fringe = members.where("edge").select("y", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("da").alias("db"))
+    keys, entries = difference_lists(members, percent)
     # what a and b have in common must lie from the first common difference on, in both
     twice = 2 * (100 + percent)
     common = (F.col("da_n") + F.col("db_n")) * (100 + percent) - (F.col("na") + F.col("nb")) * (100 - percent)
@@ -244,7 +245,7 @@ def by_differences(seen: DataFrame, percent: int, joined: DataFrame | None = Non
     sized = (F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)
     meet = (keys["y"] == entries["y"]) & (keys["e"] == entries["e"]) & (keys["near"] == entries["near"]) & (F.col("a") != F.col("b")) & (~F.col("edge") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & sized & room
     pairs = keys.join(entries, meet).select(keys["y"], "a", "b").distinct()
-    full = pairs.join(members.select("y", "a", "na", "da"), ["y", "a"]).join(fringe.select("y", "b", "nb", "db"), ["y", "b"])
+    full = pairs.join(members.select("y", "a", "na", "da"), ["y", "a"]).join(fringe, ["y", "b"])
     d = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     return full.where(d * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select(F.col("a").alias("x"), F.col("b").alias("y"))
 
@@ -273,10 +274,12 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int
     lists = materialize(lists.join(several(lists), "v").withColumn("met", F.lit(0)), "lists")
     out_of_reach = reach(percent)
     low = lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")
-    seen = None
+    seen = hubs = None
     for turn in range(rounds):
         centres = lists.groupBy("v").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"), "n")).alias("c"), F.count("*").alias("m"), F.max("home").alias("h"))
         centres = centres.where("m > 1 and h = 1").select("v", (-F.col("c.r")).alias("c"), F.col("c.n").alias("nc"))
+        now = materialize(centres.select(F.col("c").alias("id")).distinct(), "hubs")
+        hubs = now if hubs is None else hubs.unionByName(now).distinct()
         members = lists.join(centres, "v").where("rep <> c")
         pairs = members.where(F.least("n", "nc") >= out_of_reach * F.greatest("n", "nc")).select(F.col("rep").alias("x"), F.col("c").alias("y"))
         new = verify(unordered(pairs, seen), classes, docs, k, out_of_reach, True)
@@ -295,7 +298,8 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int
     left = left.join(left.groupBy("v").agg(F.expr("bit_and(met)").alias("all")).where("all = 0").select("v"), "v")
     left_rows = left = release(materialize(left.join(joined.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "left"), lists)
     ids = left.select("rep").distinct()
-    centres = sent(ids, "rep", both_orders(seen).select(F.col("x").alias("rep"), "y")).groupBy("rep").agg(F.collect_set("y").alias("of"))
+    measured = both_orders(seen).select(F.col("x").alias("rep"), F.col("y").alias("id")).join(hubs, "id", "left_semi")
+    centres = sent(ids, "rep", measured.select("rep", F.col("id").alias("y"))).groupBy("rep").agg(F.collect_set("y").alias("of"))
     short = sent(ids, "rep", classes.select("rep", F.transform("sketch", low).alias("short")))
     left = left.join(own, ["rep", "home"]).join(short, "rep").join(centres, "rep", "left")
     left = left.withColumn("of", F.array_union(F.coalesce("of", F.array().cast("array<bigint>")), F.array("rep")))
@@ -307,7 +311,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int
     rest = a.join(b, (a["v"] == b["v"]) & (a["meet"] == b["meet"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & sized & once & enough & ~F.arrays_overlap("of_a", "of_b"))
     rest = unordered(rest.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")), seen)
     late = verify(rest, classes, docs, k, percent / 100, False).where(linked(percent)).select("x", "y")
-    return ball.unionByName(late).unionByName(by_differences(seen, percent, joined))
+    return ball.unionByName(late).unionByName(by_differences(seen, percent, joined, hubs))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
